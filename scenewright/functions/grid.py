@@ -10,8 +10,13 @@ may be at most 63 columns wide; cut wider ones with ``segment_scene`` first.
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from scenewright.functions.binding import let
 from scenewright.games import Game
@@ -29,6 +34,48 @@ def class_bits(rows: Column, game: Game, chars: str) -> Column:
     )
 
 
+def with_tile_bitmaps(df: DataFrame, game: Game, classes: dict[str, str]) -> DataFrame:
+    """Add one bitmap column per tile class, named after it, in one Arrow pass.
+
+    Same bitmaps as ``class_bits``; used where a rule set needs a dozen classes.
+    Every scene must have rows of equal length.
+    """
+    def one_shape(text: list[str], height: int) -> list[np.ndarray]:
+        width = len(text[0]) // height
+        codes = np.array([t.encode("ascii") for t in text], dtype=f"S{height * width}")
+        codes = codes.view(np.uint8).reshape(-1, width)
+        weight = np.int64(1) << np.arange(width, dtype=np.int64)
+        out = []
+        for chars in classes.values():
+            member = np.zeros(256, np.int64)
+            member[[ord(ch) for ch in chars]] = 1
+            out.append((member[codes] @ weight).reshape(len(text), height))
+        return out
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = batch.column("rows")
+            heights = np.diff(rows.offsets.to_numpy())
+            text = ["".join(x) for x in rows.to_pylist()]
+            shapes = heights.astype(np.int64) * 65536 + np.array([len(t) for t in text], np.int64)
+            made = [[None] * len(text) for _ in classes]
+            for shape in np.unique(shapes):  # usually there is one
+                at = np.flatnonzero(shapes == shape)
+                for k, bits in enumerate(one_shape([text[i] for i in at], int(heights[at[0]]))):
+                    for i, row in zip(at, bits):
+                        made[k][i] = row
+            ends = pa.array(np.r_[0, np.cumsum(heights)].astype(np.int32))
+            arrays = [pa.ListArray.from_arrays(
+                ends, pa.array(np.concatenate(m) if m else np.zeros(0, np.int64))) for m in made]
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns, *arrays], [*batch.schema.names, *classes])
+
+    schema = T.StructType([
+        *df.schema.fields,
+        *[T.StructField(name, T.ArrayType(T.LongType())) for name in classes]])
+    return df.mapInArrow(add, schema)
+
+
 def columns(rows: Column) -> Column:
     """Transpose: one string per column, top to bottom."""
     return F.transform(

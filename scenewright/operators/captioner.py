@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from scenewright.functions import grid as G
+from scenewright.functions.binding import let
 from scenewright.functions.quantity import (
     count_phrase,
     describe_runs,
@@ -15,8 +16,8 @@ from scenewright.functions.quantity import (
 )
 from scenewright.games import PLATFORMER, Game
 from scenewright.operators import features as D
-from scenewright.operators.components import component_labels, components, large_component_bits
-from scenewright.operators.pipes import pipe_kind, structure_kind, with_pipe_lips
+from scenewright.operators.components import component_labels, components
+from scenewright.operators.pipes import PIPE_TILES, pipe_kind, structure_kind, with_pipe_lips
 from scenewright.operators.stairs import staircase_bits, with_staircases
 
 
@@ -52,17 +53,24 @@ def with_shapes(scenes: DataFrame, absence: bool = False, where: str | None = No
     """Add every bitmap, run list and component list the captions are made of."""
     rows = F.col("rows")
     whole = G.whole_row(F.length(rows[0]))
-    df = (
-        scenes.withColumn("solid_bits", G.class_bits(rows, game, game.having("solid")))
-        .withColumn("pipe_bits", G.class_bits(rows, game, game.having("pipe")))
-        .withColumn("floor_lines", D.floor_rows(rows))
-    )
+    df = G.with_tile_bitmaps(scenes, game, {f"_is_{name}": chars for name, chars in {
+        "solid": game.having("solid"), "pipe": game.having("pipe"),
+        "block": game.having("solid", without=("pipe",)), "coin": game.having("coin"),
+        "cannon": "B", "support": "b", "any_cannon": "Bb", "loose": "XS",
+        "no_right": ">]", "no_left": "<[", **PIPE_TILES}.items()})
+    tile = lambda name: F.col(f"_is_{name}")
+    df = df.withColumns({
+        "solid_bits": tile("solid"), "pipe_bits": tile("pipe"), "loose_bits": tile("loose"),
+        "n_broken": D.broken_supports(tile("support"), tile("any_cannon")),
+        "floor_lines": D.floor_rows(rows),
+    })
     df = D.with_ceiling(df, game, absence)
-    blocks = G.class_bits(rows, game, game.having("solid", without=("pipe",)))
-    platform = G.without_rows(G.clear_above_and_below(blocks, F.col("solid_bits")), F.when(
+    platform = G.without_rows(G.clear_above_and_below(tile("block"), F.col("solid_bits")), F.when(
         F.col("ceiling_row").isNull(), F.array().cast("array<int>")).otherwise(
         F.array("ceiling_row")))
-    df = df.withColumn("coin_run_bits", D.horizontal_run_bits(rows, game, "coin", 2)).withColumn(
+    coins = F.concat(F.slice(tile("coin"), F.lit(1), F.size(rows) - 1),
+                     F.array(F.lit(0).cast("bigint")))
+    df = df.withColumn("coin_run_bits", F.transform(coins, lambda b: G.run_mask(b, 2))).withColumn(
         "platform_bits", F.transform(platform, lambda b: G.run_mask(b, 2)))
     df = with_staircases(df, "up_stairs", -1, width=game.width)
     df = with_staircases(df, "down_stairs", 1, width=game.width)
@@ -76,26 +84,26 @@ def with_shapes(scenes: DataFrame, absence: bool = False, where: str | None = No
     df = df.withColumn("floor_bits", floor).withColumn(
         "claimed_bits",
         G.or_rows(F.col("floor_bits"), F.col("ceiling_bits"), F.col("platform_bits"),
-                  F.col("up_bits"), F.col("down_bits"), G.class_bits(rows, game, "B")))
+                  F.col("up_bits"), F.col("down_bits"), tile("cannon")))
     df = df.withColumn(
         "free_bits", G.minus_rows(G.minus_rows(solid, F.col("pipe_bits")), F.col("claimed_bits")))
     df = df.withColumn(
-        "pipes", components(F.col("pipe_bits"), game.width, G.class_bits(rows, game, ">]"),
-                            G.class_bits(rows, game, "<["))
-    ).withColumn("blocks", components(F.col("free_bits"), game.width)
-    ).withColumn("block_bits", large_component_bits(F.col("free_bits"), game.width, 3))
-    df = df.withColumn("blocks", F.filter("blocks", lambda b: b["cells"] >= 3))
-    df = with_pipe_lips(df, game)
-    floor_row = F.array_min("floor_lines")
-    return df.withColumn(
-        "pipe_kinds",
-        F.transform("pipes", lambda p: placed(
-            pipe_kind(p, F.col("lips_down"), F.col("lips_up")), p, game, where)),
-    ).withColumn(
-        "block_kinds",
-        F.transform("blocks", lambda b: placed(
-            structure_kind(b, F.col("ceiling_row"), floor_row), b, game, where)),
-    )
+        "_pipes", components(F.col("pipe_bits"), game.width, tile("no_right"),
+                             tile("no_left"))
+    ).withColumn("_blocks", components(F.col("free_bits"), game.width, min_cells=3))
+    df = df.withColumns({"pipes": F.col("_pipes.boxes"), "blocks": F.col("_blocks.boxes"),
+                         "block_bits": F.col("_blocks.bits")})
+    df = with_pipe_lips(df, {name: tile(name) for name in PIPE_TILES})
+    # Bound outside the inner lambdas so that they are computed once per scene.
+    lips = F.struct(F.col("lips_down").alias("down"), F.col("lips_up").alias("up"))
+    edges = F.struct(F.col("ceiling_row").alias("ceiling"),
+                     F.array_min("floor_lines").alias("floor"))
+    return df.withColumns({
+        "pipe_kinds": let(lips, lambda at: F.transform("pipes", lambda p: placed(
+            pipe_kind(p, at["down"], at["up"]), p, game, where))),
+        "block_kinds": let(edges, lambda at: F.transform("blocks", lambda b: placed(
+            structure_kind(b, at["ceiling"], at["floor"]), b, game, where))),
+    })
 
 
 def platformer_caption(scenes: DataFrame, absence: bool = False, where: str | None = None,
@@ -127,7 +135,7 @@ def platformer_caption(scenes: DataFrame, absence: bool = False, where: str | No
     df = df.withColumn("floor_text", D.floor_phrase(rows, game, absence))
     floor = F.col("floor_text")
     loose = G.bit_total(G.minus_rows(
-        G.minus_rows(G.class_bits(rows, game, "XS"), F.col("claimed_bits")), F.col("block_bits")))
+        G.minus_rows(F.col("loose_bits"), F.col("claimed_bits")), F.col("block_bits")))
     pipe_text = structure_text(
         F.col("pipe_kinds"),
         (["pipe", "upside down pipe"] if upside_down else ["pipe"]) if absence else [])
@@ -147,7 +155,7 @@ def platformer_caption(scenes: DataFrame, absence: bool = False, where: str | No
         tiles("E", "enemy", "enemies"),
         tiles("Q?", "question block", "question blocks"),
         tiles("B", "cannon", "cannons"),
-        count_phrase(D.broken_cannons(rows, game), "broken cannon", "broken cannons"),
+        count_phrase(F.col("n_broken"), "broken cannon", "broken cannons"),
         tiles("o", "coin", "coins"),
         runs("coin_run_bits", "coin line"),
         runs("platform_bits", "platform"),
@@ -173,7 +181,7 @@ def phrase_cells(scenes: DataFrame, key: str = "scene_id", game: Game = PLATFORM
         "question block": bits("Q?"), "cannon": bits("B"), "coin": bits("o"),
         "coin line": F.col("coin_run_bits"), "platform": F.col("platform_bits"),
         "ascending staircase": F.col("up_bits"), "descending staircase": F.col("down_bits"),
-        "loose block": G.minus_rows(G.minus_rows(bits("XS"), F.col("claimed_bits")),
+        "loose block": G.minus_rows(G.minus_rows(F.col("loose_bits"), F.col("claimed_bits")),
                                     F.col("block_bits")),
     }
     plain = df.select(
@@ -186,13 +194,13 @@ def phrase_cells(scenes: DataFrame, key: str = "scene_id", game: Game = PLATFORM
     def by_component(mask: str, comps: str, kinds: str, *edges: Column) -> DataFrame:
         named = F.map_from_arrays(F.transform(comps, lambda k: k["label"]), F.col(kinds))
         labelled = df.withColumn("_l", component_labels(F.col(mask), game.width, *edges))
-        cells = F.filter(
+        cells = let(named, lambda kind: F.filter(
             F.transform("_l", lambda label, p: F.struct(
-                F.element_at(F.col("_k"), label).alias("topic"),
+                F.element_at(kind, label).alias("topic"),
                 F.floor(p / game.width).cast("int").alias("r"),
                 (p % game.width).cast("int").alias("c"))),
-            lambda x: x["topic"].isNotNull())
-        return labelled.withColumn("_k", named).select(
+            lambda x: x["topic"].isNotNull()))
+        return labelled.select(
             key, F.explode_outer(cells).alias("t")
         ).where("t IS NOT NULL").select(key, "t.topic", F.struct("t.r", "t.c").alias("cell"))
 

@@ -13,71 +13,106 @@ import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from scenewright.functions.grid import cleared
+
 COMPONENT = "struct<label:int,top:int,bottom:int,left:int,right:int,cells:int>"
+OFF = np.int16(0x7FFF)
 
 
 def _unpack(bits: pa.Array, width: int) -> np.ndarray:
-    """Row bitmaps of a batch as booleans ``[scene, row, column]``."""
+    """Row bitmaps of a batch as booleans ``[row, column, scene]``."""
     values = bits.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
-    grid = values.reshape(len(bits), -1, 1)
-    return ((grid >> np.arange(width)) & 1).astype(bool)
+    rows = np.ascontiguousarray(values.reshape(len(bits), -1).T)
+    return ((rows[:, None, :] >> np.arange(width)[None, :, None]) & 1).astype(bool)
+
+
+def _as_or_mask(flags: np.ndarray) -> np.ndarray:
+    return np.where(flags, OFF, np.int16(0))
 
 
 def min_labels(mask: np.ndarray, no_right: np.ndarray, no_left: np.ndarray) -> np.ndarray:
-    """Smallest row-major index that reaches each set cell; off cells are ``H*W``."""
-    n, height, width = mask.shape
-    none = height * width
-    label = np.where(mask, np.arange(none, dtype=np.int32).reshape(height, width), none)
+    """Smallest row-major index that reaches each set cell, ``OFF`` elsewhere.
+
+    Arrays are ``[row, column, scene]``. Labels are swept down, up, right and
+    left until a whole round changes nothing. OR-ing with ``OFF`` keeps clear
+    cells clear and closes the one-sided edges.
+    """
+    height, width, _ = mask.shape
+    off, shut_right, shut_left = _as_or_mask(~mask), _as_or_mask(no_right), _as_or_mask(no_left)
+    index = np.arange(height * width, dtype=np.int16).reshape(height, width, 1)
+    label = np.where(mask, index, OFF)
     while True:
         before = label.copy()
-        for r in [*range(1, height), *range(height - 2, -1, -1)]:
-            for other in (r - 1, r + 1):
-                if 0 <= other < height:
-                    np.minimum(label[:, r], label[:, other], out=label[:, r], where=mask[:, r])
-        for c in [*range(1, width), *range(width - 2, -1, -1)]:
-            if c > 0:
-                np.minimum(label[:, :, c], label[:, :, c - 1], out=label[:, :, c],
-                           where=mask[:, :, c] & ~no_right[:, :, c - 1])
-            if c < width - 1:
-                np.minimum(label[:, :, c], label[:, :, c + 1], out=label[:, :, c],
-                           where=mask[:, :, c] & ~no_left[:, :, c + 1])
+        for r in range(1, height):
+            np.minimum(label[r], label[r - 1] | off[r], out=label[r])
+        for r in range(height - 2, -1, -1):
+            np.minimum(label[r], label[r + 1] | off[r], out=label[r])
+        for c in range(1, width):
+            np.minimum(label[:, c], label[:, c - 1] | shut_right[:, c - 1] | off[:, c],
+                       out=label[:, c])
+        for c in range(width - 2, -1, -1):
+            np.minimum(label[:, c], label[:, c + 1] | shut_left[:, c + 1] | off[:, c],
+                       out=label[:, c])
         if np.array_equal(before, label):
             return label
 
 
 def _labels(mask: pa.Array, no_right: pa.Array, no_left: pa.Array, width: int) -> np.ndarray:
-    return min_labels(_unpack(mask, width), _unpack(no_right, width), _unpack(no_left, width))
+    """Labels as ``[scene, cell]``."""
+    out = min_labels(_unpack(mask, width), _unpack(no_right, width), _unpack(no_left, width))
+    return np.ascontiguousarray(out.reshape(-1, len(mask)).T)
+
+
+def _boxes(label: np.ndarray, width: int, min_cells: int) -> pa.Array:
+    """Bounding box and size per component of at least ``min_cells``, by label."""
+    n, cells = label.shape
+    scene, cell = np.nonzero(label != OFF)
+    key = scene.astype(np.int64) * cells + label[scene, cell]
+    order = np.argsort(key, kind="stable")
+    key, row, col = key[order], cell[order] // width, cell[order] % width
+    first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else np.zeros(0, int)
+    sizes = np.diff(np.r_[first, len(key)])
+
+    def extreme(ufunc: np.ufunc, values: np.ndarray) -> np.ndarray:
+        return ufunc.reduceat(values, first) if len(first) else values[:0]
+
+    table = np.stack([key[first] % cells, extreme(np.minimum, row), extreme(np.maximum, row),
+                      extreme(np.minimum, col), extreme(np.maximum, col), sizes])
+    keep = sizes >= min_cells
+    owner = (key[first] // cells)[keep]
+    offsets = np.searchsorted(owner, np.arange(n + 1)).astype(np.int32)
+    fields = ["label", "top", "bottom", "left", "right", "cells"]
+    structs = pa.StructArray.from_arrays(
+        [pa.array(part[keep].astype(np.int32)) for part in table], fields)
+    return pa.ListArray.from_arrays(pa.array(offsets), structs)
 
 
 def components(mask: Column, width: int, no_right: Column | None = None,
-               no_left: Column | None = None) -> Column:
-    """Bounding boxes and sizes, ordered by label, as an array of structs."""
+               no_left: Column | None = None, min_cells: int = 1) -> Column:
+    """Components of at least ``min_cells``, ordered by label.
+
+    Returns ``STRUCT<boxes ARRAY<...>, bits ARRAY<BIGINT>>``: one box per
+    component and the mask restricted to those components.
+    """
 
-    @F.arrow_udf(f"array<{COMPONENT}>")
-    def boxes(mask: pa.Array, no_right: pa.Array, no_left: pa.Array) -> pa.Array:
+    @F.arrow_udf(f"struct<boxes:array<{COMPONENT}>,bits:array<bigint>>")
+    def find(mask: pa.Array, no_right: pa.Array, no_left: pa.Array) -> pa.Array:
         n = len(mask)
-        if n == 0:
-            return pa.array([], pa.list_(pa.struct([(k, pa.int32()) for k in (
-                "label", "top", "bottom", "left", "right", "cells")])))
-        label = _labels(mask, no_right, no_left, width)
-        scene, row, col = np.nonzero(label < label.shape[1] * width)
-        key = scene.astype(np.int64) * (label.shape[1] * width) + label[scene, row, col]
-        order = np.argsort(key, kind="stable")
-        key, row, col = key[order], row[order], col[order]
-        first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else np.zeros(0, int)
-        sizes = np.diff(np.r_[first, len(key)])
-        lo = lambda v: np.minimum.reduceat(v, first) if len(first) else v[:0]
-        hi = lambda v: np.maximum.reduceat(v, first) if len(first) else v[:0]
-        parts = [key[first] % (label.shape[1] * width), lo(row), hi(row), lo(col), hi(col), sizes]
-        owner = key[first] // (label.shape[1] * width)
-        offsets = np.searchsorted(owner, np.arange(n + 1))
-        fields = ["label", "top", "bottom", "left", "right", "cells"]
-        structs = pa.StructArray.from_arrays([pa.array(p.astype(np.int32)) for p in parts], fields)
-        return pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), structs)
-
-    empty = F.transform(mask, lambda b: F.lit(0).cast("bigint"))
-    return boxes(mask, empty if no_right is None else no_right,
-                 empty if no_left is None else no_left)
+        height = len(mask[0]) if n else 1
+        label = _labels(mask, no_right, no_left, width) if n else np.zeros((0, width), np.int16)
+        cells = height * width
+        key = np.arange(n)[:, None] * (cells + 1) + np.minimum(label, cells)
+        sizes = np.bincount(key.reshape(-1), minlength=n * (cells + 1))
+        keep = (label != OFF) & (sizes[key] >= min_cells)
+        bits = (keep.reshape(n, height, width).astype(np.int64) << np.arange(width)).sum(axis=2)
+        offsets = np.arange(0, (n + 1) * height, height, dtype=np.int32)
+        return pa.StructArray.from_arrays(
+            [_boxes(label, width, min_cells),
+             pa.ListArray.from_arrays(pa.array(offsets), pa.array(bits.reshape(-1)))],
+            ["boxes", "bits"])
+
+    return find(mask, cleared(mask) if no_right is None else no_right,
+                cleared(mask) if no_left is None else no_left)
 
 
 def component_labels(mask: Column, width: int, no_right: Column | None = None,
@@ -90,35 +125,10 @@ def component_labels(mask: Column, width: int, no_right: Column | None = None,
         if n == 0:
             return pa.array([], pa.list_(pa.int32()))
         label = _labels(mask, no_right, no_left, width)
-        cells = label.shape[1] * width
         flat = label.reshape(-1)
-        values = pa.array(flat.astype(np.int32), mask=flat >= cells)
-        return pa.ListArray.from_arrays(
-            pa.array(np.arange(0, (n + 1) * cells, cells, dtype=np.int32)), values)
-
-    empty = F.transform(mask, lambda b: F.lit(0).cast("bigint"))
-    return labels(mask, empty if no_right is None else no_right,
-                  empty if no_left is None else no_left)
-
-
-def large_component_bits(mask: Column, width: int, min_cells: int) -> Column:
-    """The mask without the components smaller than ``min_cells``."""
-
-    @F.arrow_udf("array<bigint>")
-    def kept(mask: pa.Array) -> pa.Array:
-        n = len(mask)
-        if n == 0:
-            return pa.array([], pa.list_(pa.int64()))
-        on = _unpack(mask, width)
-        off = np.zeros_like(on)
-        label = min_labels(on, off, off)
-        cells = on.shape[1] * width
-        key = np.arange(n)[:, None, None] * (cells + 1) + label
-        sizes = np.bincount(key.reshape(-1), minlength=n * (cells + 1))
-        keep = on & (sizes[key] >= min_cells)
-        rows = (keep.astype(np.int64) << np.arange(width)).sum(axis=2).reshape(-1)
+        offsets = np.arange(0, len(flat) + 1, label.shape[1], dtype=np.int32)
         return pa.ListArray.from_arrays(
-            pa.array(np.arange(0, (n + 1) * on.shape[1], on.shape[1], dtype=np.int32)),
-            pa.array(rows))
+            pa.array(offsets), pa.array(flat.astype(np.int32), mask=flat == OFF))
 
-    return kept(mask)
+    return labels(mask, cleared(mask) if no_right is None else no_right,
+                  cleared(mask) if no_left is None else no_left)

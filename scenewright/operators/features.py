@@ -148,12 +148,15 @@ def floor_rows(rows: Column) -> Column:
     return F.when(last == above, F.array(n - 2, n - 1)).otherwise(F.array(n - 1))
 
 
+def broken_supports(base: Column, any_cannon: Column) -> Column:
+    """Supports whose tile above is neither a cannon nor a support, from bitmaps."""
+    return G.bit_total(
+        F.zip_with(base, G.above(any_cannon), lambda b, up: b.bitwiseAND(F.bitwise_not(up))))
+
+
 def broken_cannons(rows: Column, game: Game) -> Column:
     """Cannon supports whose tile above is neither a cannon nor a support."""
-    base = G.class_bits(rows, game, "b")
-    any_cannon = G.class_bits(rows, game, "Bb")
-    alone = F.zip_with(base, G.above(any_cannon), lambda b, up: b.bitwiseAND(F.bitwise_not(up)))
-    return G.bit_total(alone)
+    return broken_supports(G.class_bits(rows, game, "b"), G.class_bits(rows, game, "Bb"))
 
 
 def horizontal_run_bits(rows: Column, game: Game, descriptor: str, min_len: int,

@@ -13,7 +13,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from scenewright.functions import grid as G
-from scenewright.games import Game
 
 
 def _continues(good: Column, stop: Column, downward: bool) -> Column:
@@ -38,40 +37,45 @@ def _continues(good: Column, stop: Column, downward: bool) -> Column:
     return F.slice(scan, F.lit(1), F.size(scan) - 1)
 
 
-def with_pipe_lips(df: DataFrame, game: Game) -> DataFrame:
-    """Add ``lips_down`` and ``lips_up``: where a valid pipe's lip may stand."""
-    rows = F.col("rows")
-    bits = lambda chars: G.class_bits(rows, game, chars)
-    df = (
-        df.withColumn("_ll", bits("<")).withColumn("_lr", bits(">"))
-        .withColumn("_bl", bits("[")).withColumn("_br", bits("]")).withColumn("_empty", bits("-"))
-    )
+PIPE_TILES = {"lip_left": "<", "lip_right": ">", "body_left": "[", "body_right": "]",
+              "empty": "-"}
+
+
+def with_pipe_lips(df: DataFrame, tiles: dict[str, Column]) -> DataFrame:
+    """Add ``lips_down`` and ``lips_up``: where a valid pipe's lip may stand.
+
+    ``tiles`` holds one bitmap column for each name in ``PIPE_TILES``.
+    """
     both = lambda a, b: a.bitwiseAND(F.shiftright(b, 1))
     either = lambda a, b: a.bitwiseOR(b)
-    df = (
-        df.withColumn("_lip", F.zip_with("_ll", "_lr", both))
-        .withColumn("_left", F.zip_with("_ll", "_bl", either))
-        .withColumn("_right", F.zip_with("_lr", "_br", either))
-        .withColumn("_body", F.zip_with("_bl", "_br", both))
-    )
-    pair = F.zip_with("_lip", "_body", either)
-    pipe = F.zip_with("_left", "_right", either)
-    one = F.lit(1).cast("bigint")
-    last = G.shift_left(one, F.length(rows[0]) - 1)
     spread = lambda m: m.bitwiseOR(F.shiftright(m, 1))
+    df = df.withColumns({
+        "_ll": tiles["lip_left"], "_lr": tiles["lip_right"], "_empty": tiles["empty"],
+        "_left": F.zip_with(tiles["lip_left"], tiles["body_left"], either),
+        "_right": F.zip_with(tiles["lip_right"], tiles["body_right"], either),
+        "_lip": F.zip_with(tiles["lip_left"], tiles["lip_right"], both),
+        "_body": F.zip_with(tiles["body_left"], tiles["body_right"], both),
+    })
+    df = df.withColumns({"_pair": F.zip_with("_lip", "_body", either),
+                         "_stop_down": F.zip_with("_left", "_right", either)})
+    df = df.withColumn("_stop_up", F.zip_with("_stop_down", "_empty", either))
+    one = F.lit(1).cast("bigint")
+    last = G.shift_left(one, F.length(F.col("rows")[0]) - 1)
 
     def lips(downward: bool) -> Column:
-        stop = pipe if downward else G.or_rows(pipe, F.col("_empty"))
-        wide = F.zip_with("_lip", _continues(pair, F.transform(stop, spread), downward),
-                          lambda a, b: a.bitwiseAND(b).bitwiseAND(F.bitwise_not(last)))
+        stop = F.col("_stop_down" if downward else "_stop_up")
+        wide = F.zip_with(
+            "_lip", _continues(F.col("_pair"), F.transform(stop, spread), downward),
+            lambda a, b: a.bitwiseAND(b).bitwiseAND(F.bitwise_not(last)))
         left = F.zip_with("_lr", _continues(F.col("_right"), stop, downward),
                           lambda a, b: a.bitwiseAND(b).bitwiseAND(one))
         right = F.zip_with("_ll", _continues(F.col("_left"), stop, downward),
                            lambda a, b: a.bitwiseAND(b).bitwiseAND(last))
         return G.or_rows(wide, left, right)
 
-    return df.withColumn("lips_down", lips(True)).withColumn("lips_up", lips(False)).drop(
-        "_ll", "_lr", "_bl", "_br", "_empty", "_lip", "_left", "_right", "_body")
+    return df.withColumns({"lips_down": lips(True), "lips_up": lips(False)}).drop(
+        "_ll", "_lr", "_empty", "_left", "_right", "_lip", "_body", "_pair", "_stop_down",
+        "_stop_up")
 
 
 def pipe_kind(comp: Column, lips_down: Column, lips_up: Column) -> Column:
