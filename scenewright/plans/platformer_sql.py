@@ -174,23 +174,47 @@ loose AS (
 kinds AS (
   SELECT scene_id, 0 AS part, kind, count(*) AS n, min(lab) AS lab FROM pipekind GROUP BY scene_id, kind
   UNION ALL SELECT scene_id, 1, kind, count(*), min(lab) FROM blockkind GROUP BY scene_id, kind),
-kindtext AS (
-  SELECT scene_id, string_agg(CASE WHEN n=1 THEN ' one '||kind||'.' ELSE ' '||({q('n')})||' '||kind||'s.' END, ''
-    ORDER BY part, lab) AS t FROM kinds GROUP BY scene_id),
 stairn AS (
   SELECT scene_id, count(*) FILTER (kind='ascending') AS na, count(*) FILTER (kind='descending') AS nd
   FROM stairs GROUP BY scene_id),
-platn AS (SELECT scene_id, count(*) AS n FROM platruns GROUP BY scene_id),
+platn AS (SELECT scene_id, count(*) AS n FROM platruns GROUP BY scene_id)
+"""
+
+
+def captions(absence: bool = False) -> str:
+    """The whole check as CTEs up to ``captions(scene_id, caption)``."""
+    no = lambda text: f"' no {text}.'" if absence else "''"
+
+    def count(n: str, one: str, many: str, always: bool = True) -> str:
+        other = no(many) if always else "''"
+        return said(n, one, many)[: -len("ELSE '' END")] + f"ELSE {other} END"
+
+    texts = ",\n".join(
+        f"kindtext{part} AS (SELECT i.scene_id, coalesce(string_agg(CASE WHEN n=1 THEN ' one '||kind"
+        f"||'.' ELSE ' '||({q('n')})||' '||kind||'s.' END, '' ORDER BY lab) FILTER (part={part}), '')"
+        + "".join(f" || CASE WHEN coalesce(bool_or(kind='{k}'), false) THEN '' ELSE {no(k + 's')} END"
+                  for k in names)
+        + " AS t FROM ids i LEFT JOIN kinds k ON k.scene_id=i.scene_id GROUP BY i.scene_id)"
+        for part, names in enumerate((["pipe", "upside down pipe"],
+                                      ["tower", "rectangular block cluster",
+                                       "irregular block cluster"])))
+    floor = "CASE WHEN floor_text='' THEN " + ("'no floor.'" if absence else "''") + \
+        " ELSE floor_text||'.' END"
+    ceil = f"CASE WHEN ceiling_text='' THEN {no('ceiling')} ELSE ceiling_text END"
+    return BASE + f""",
+{texts},
 captions AS (
-  SELECT scene_id, trim(CASE WHEN floor_text='' THEN '' ELSE floor_text||'.' END || ceiling_text
-    || {said('enemies', 'enemy', 'enemies')} || {said('questions', 'question block', 'question blocks')}
-    || {said('cannons', 'cannon', 'cannons')} || {said('broken', 'broken cannon', 'broken cannons')}
-    || {said('coins', 'coin', 'coins')} || {said('coin_lines', 'coin line', 'coin lines')}
-    || {said('coalesce(platn.n,0)', 'platform', 'platforms')}
+  SELECT scene_id, trim({floor} || {ceil}
+    || {count('enemies', 'enemy', 'enemies')} || {count('questions', 'question block', 'question blocks')}
+    || {count('cannons', 'cannon', 'cannons')} || {count('broken', 'broken cannon', 'broken cannons', False)}
+    || {count('coins', 'coin', 'coins')} || {count('coin_lines', 'coin line', 'coin lines')}
+    || {count('coalesce(platn.n,0)', 'platform', 'platforms')}
     || {said('coalesce(na,0)', 'ascending staircase', 'ascending staircases')}
     || {said('coalesce(nd,0)', 'descending staircase', 'descending staircases')}
-    || coalesce(kindtext.t, '') || {said('coalesce(loose.n,0)', 'loose block', 'loose blocks')}) AS caption
+    || CASE WHEN coalesce(na,0)=0 THEN {no('ascending staircases')} ELSE '' END
+    || CASE WHEN coalesce(nd,0)=0 THEN {no('descending staircases')} ELSE '' END
+    || kindtext0.t || kindtext1.t || {count('coalesce(loose.n,0)', 'loose block', 'loose blocks')}) AS caption
   FROM counts JOIN floors USING (scene_id) JOIN ceiling USING (scene_id)
-  LEFT JOIN platn USING (scene_id) LEFT JOIN stairn USING (scene_id)
-  LEFT JOIN kindtext USING (scene_id) LEFT JOIN loose USING (scene_id))
+  JOIN kindtext0 USING (scene_id) JOIN kindtext1 USING (scene_id)
+  LEFT JOIN platn USING (scene_id) LEFT JOIN stairn USING (scene_id) LEFT JOIN loose USING (scene_id))
 """
