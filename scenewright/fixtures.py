@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from scenewright.functions.binding import let
+
 SCENES_PER_DOCUMENT = 100000  # scene_id = doc_id * this + position
 
 # How letters become tiles, per game and row band; every other character takes
@@ -149,3 +151,91 @@ def scene_sql(game: str = "platformer", table_name: str = "documents", key: str
   FROM {p}fx_rows, range({width}) t(c)),
 {p}fx_grid AS (
   SELECT scene_id, string_agg(line, '' ORDER BY r) AS grid FROM {p}fx_rows GROUP BY scene_id)"""
+
+
+# ------------------------------------------------------------------ captions
+# Topic, letter whose count in the whole text picks the quantity, singular, plural.
+CAPTION_TOPICS = [
+    ("e", "ceiling", "ceilings"), ("n", "upside down pipe", "upside down pipes"),
+    ("t", "pipe", "pipes"), ("h", "coin line", "coin lines"), ("a", "coin", "coins"),
+    ("i", "platform", "platforms"), ("o", "tower", "towers"), ("r", "cannon", "cannons"),
+    ("s", "ascending staircase", "ascending staircases"),
+    ("d", "descending staircase", "descending staircases"),
+    ("u", "rectangular block cluster", "rectangular block clusters"),
+    ("l", "irregular block cluster", "irregular block clusters"),
+    ("c", "question block", "question blocks"), ("g", "loose block", "loose blocks"),
+    ("b", "enemy", "enemies"), ("f", "floor", "floors"), ("p", "broken pipe", "broken pipes"),
+]
+QUANTITIES = ["no", "one", "two", "a few", "several", "many"]
+SPECIAL = {
+    "ceiling": ["no ceiling", "full ceiling", "ceiling with one gap", "ceiling with two gaps",
+                "ceiling with a few gaps", "ceiling with several gaps"],
+    "floor": ["no floor", "full floor", "floor with one gap", "floor with two gaps",
+              "giant gap with one chunk of floor", "floor with a few gaps"],
+}
+
+
+def _phrase(t: int, n: int) -> str:
+    _, one, many = CAPTION_TOPICS[t]
+    if one in SPECIAL:
+        return SPECIAL[one][n]
+    return f"{QUANTITIES[n]} {one if n == 1 else many}"
+
+
+def caption_of(text: Column) -> Column:
+    """A caption that is a function of letter counts over the whole text.
+
+    Topic ``t`` is mentioned when its letter count modulo 12 is below 6, with
+    that number as quantity; exact copies of a text share their caption.
+    """
+    def part(t: int, letter: str) -> Column:
+        count = (F.length(text) - F.length(F.replace(text, F.lit(letter), F.lit("")))) % 12
+        words = F.array(*[F.lit(_phrase(t, k)) for k in range(6)])
+        return let(count, lambda n: F.when(n < 6, F.struct(
+            ((n * 7 + t * 5) % 17).alias("pos"), F.lit(t).alias("t"), F.get(words, n).alias("p"))))
+
+    parts = [part(t, letter) for t, (letter, _, _) in enumerate(CAPTION_TOPICS)]
+    ordered = F.transform(F.array_sort(F.array_compact(F.array(*parts))), lambda x: x["p"])
+    return let(ordered, lambda ps: F.when(F.size(ps) == 0, "").otherwise(
+        F.concat(F.array_join(ps, ". "), F.lit("."))))
+
+
+def pairs(spark: SparkSession, sf_dir: str, *extra: str) -> DataFrame:
+    """``(sample_id, prompt, generated)``: two captions per document."""
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text", *extra))
+    low = docs.select("doc_id", *extra, F.lower("text").alias("s"))
+    return low.select(F.col("doc_id").alias("sample_id"), *extra, caption_of(F.col("s")).alias("prompt"),
+                      caption_of(F.translate("s", "aeo", "eoa")).alias("generated"))
+
+
+def known_captions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``(item_id, caption)`` of the benchmark texts."""
+    items = table(spark, sf_dir, "benchmark").select("item_id", F.lower("text").alias("s"))
+    return items.select("item_id", caption_of(F.col("s")).alias("caption"))
+
+
+def _topic_values() -> str:
+    return ", ".join(
+        f"({t}, '{letter}', {k}, '{_phrase(t, k)}')"
+        for t, (letter, _, _) in enumerate(CAPTION_TOPICS) for k in range(6))
+
+
+PAIRS_SQL = f"""
+fx_topics AS (SELECT * FROM (VALUES {_topic_values()}) v(t, letter, k, phrase)),
+fx_sides AS (
+  SELECT doc_id AS id, 'p' AS side, lower(text) AS s FROM documents
+  UNION ALL SELECT doc_id, 'g', translate(lower(text), 'aeo', 'eoa') FROM documents
+  UNION ALL SELECT item_id, 'k', lower(text) FROM benchmark),
+fx_letters AS (
+  SELECT id, side, t, (length(s) - length(replace(s, letter, ''))) % 12 AS n
+  FROM fx_sides, (SELECT DISTINCT t, letter FROM fx_topics)),
+fx_said AS (
+  SELECT id, side, l.t, phrase, (n*7 + l.t*5) % 17 AS pos
+  FROM fx_letters l JOIN fx_topics f ON f.t = l.t AND f.k = l.n),
+fx_text AS (
+  SELECT s.id, s.side, coalesce(string_agg(phrase, '. ' ORDER BY pos, t) || '.', '') AS caption
+  FROM fx_sides s LEFT JOIN fx_said f ON f.id = s.id AND f.side = s.side GROUP BY s.id, s.side),
+fx_pairs AS (
+  SELECT a.id AS sample_id, a.caption AS prompt, b.caption AS generated
+  FROM fx_text a JOIN fx_text b ON a.id = b.id AND a.side = 'p' AND b.side = 'g'),
+fx_known AS (SELECT id AS item_id, caption FROM fx_text WHERE side = 'k')"""

@@ -78,10 +78,12 @@ def with_tile_bitmaps(df: DataFrame, game: Game, classes: dict[str, str]) -> Dat
 
 def columns(rows: Column) -> Column:
     """Transpose: one string per column, top to bottom."""
-    return F.transform(
-        F.sequence(F.lit(1), F.length(rows[0])),
-        lambda c: F.array_join(F.transform(rows, lambda row: F.substring(row, c, 1)), ""),
-    )
+    def letters(r: Column) -> Column:
+        return F.transform(
+            F.sequence(F.lit(1), F.length(r[0])),
+            lambda c: F.array_join(F.transform(r, lambda row: F.substring(row, c, 1)), ""))
+
+    return let(rows, letters)
 
 
 def shift_left(value: Column, by: Column) -> Column:

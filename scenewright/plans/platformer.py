@@ -14,7 +14,6 @@ from scenewright.operators import features as D
 from scenewright.operators.components import component_labels, components
 from scenewright.plans.platformer_sql import BASE, PIPE, SOLID, captions, plural, q
 
-ROWS = F.col("rows")
 
 
 def _scenes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -55,7 +54,7 @@ def ceiling_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def coin_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    runs = G.runs_of(D.horizontal_run_bits(ROWS, P, "coin", 2), 1)
+    runs = G.runs_of(D.horizontal_run_bits(F.col("rows"), P, "coin", 2), 1)
     return _scenes(spark, sf_dir).select("scene_id", F.explode_outer(runs).alias("run")).where(
         "run IS NOT NULL").select(
         "scene_id", F.col("run.line").alias("r"), F.col("run.first").alias("c0"),
@@ -63,7 +62,7 @@ def coin_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def described_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    runs = G.runs_of(D.horizontal_run_bits(ROWS, P, "coin", 2), 1)
+    runs = G.runs_of(D.horizontal_run_bits(F.col("rows"), P, "coin", 2), 1)
     return _scenes(spark, sf_dir).withColumn("runs", runs).select(
         "scene_id",
         describe_runs(F.col("runs"), "coin line", P).alias("counted"),
@@ -86,15 +85,15 @@ def _stairs(df: DataFrame) -> DataFrame:
 
 
 def solid_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    bits = G.class_bits(ROWS, P, P.having("solid", without=("pipe",)))
+    bits = G.class_bits(F.col("rows"), P, P.having("solid", without=("pipe",)))
     cells = _scenes(spark, sf_dir).withColumn("labels", component_labels(bits, P.width)).select(
         "scene_id", F.posexplode_outer("labels").alias("i", "lab"))
     return cells.where("lab IS NOT NULL")
 
 
 def pipe_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = components(G.class_bits(ROWS, P, P.having("pipe")), P.width,
-                       G.class_bits(ROWS, P, ">]"), G.class_bits(ROWS, P, "<["))
+    found = components(G.class_bits(F.col("rows"), P, P.having("pipe")), P.width,
+                       G.class_bits(F.col("rows"), P, ">]"), G.class_bits(F.col("rows"), P, "<["))
     boxes = _scenes(spark, sf_dir).withColumn("found", found).select(
         "scene_id", F.explode_outer("found.boxes").alias("b")).where("b IS NOT NULL")
     return boxes.select("scene_id", F.col("b.label").alias("lab"), F.col("b.top").alias("r0"),
@@ -193,31 +192,31 @@ QUERIES = {
     "c10_explode_cells": (explode_cells, BASE + f"""
 SELECT r, c, instr('{P.alphabet}', ch) - 1 AS tile, count(*) AS n FROM fx_cells GROUP BY ALL"""),
     "d01_count_tiles": (
-        _feature(enemies=lambda: D.count_tiles(ROWS, P, "E"),
-                 solids=lambda: D.count_tiles(ROWS, P, P.having("solid")),
+        _feature(enemies=lambda: D.count_tiles(F.col("rows"), P, "E"),
+                 solids=lambda: D.count_tiles(F.col("rows"), P, P.having("solid")),
                  coins_off_floor=lambda: D.count_tiles(
-                     ROWS, P, "o", exclude=F.transform(
-                         ROWS, lambda row, r: F.when(
-                             r == F.size(ROWS) - 1, G.whole_row(F.length(row))).otherwise(
+                     F.col("rows"), P, "o", exclude=F.transform(
+                         F.col("rows"), lambda row, r: F.when(
+                             r == F.size(F.col("rows")) - 1, G.whole_row(F.length(row))).otherwise(
                              F.lit(0).cast("bigint"))))),
         BASE + f"""SELECT scene_id, count(*) FILTER (ch='E') AS enemies, count(*) FILTER (ch IN {SOLID})
         AS solids, count(*) FILTER (ch='o' AND r<15) AS coins_off_floor FROM cells GROUP BY scene_id"""),
     "d02_quantity_bucket": (
-        _feature(quantity=lambda: quantity(D.count_tiles(ROWS, P, "o")),
-                 size=lambda: size_word(D.count_tiles(ROWS, P, "o"))),
+        _feature(quantity=lambda: quantity(D.count_tiles(F.col("rows"), P, "o")),
+                 size=lambda: size_word(D.count_tiles(F.col("rows"), P, "o"))),
         BASE + f"""SELECT scene_id, {q('coins')} AS quantity,
         CASE WHEN coins<=4 THEN 'small' ELSE 'big' END AS size FROM counts"""),
     "d03_count_phrase": (
-        _feature(phrase=lambda: count_phrase(D.count_tiles(ROWS, P, "E"), "enemy", "enemies", True)),
+        _feature(phrase=lambda: count_phrase(D.count_tiles(F.col("rows"), P, "E"), "enemy", "enemies", True)),
         BASE + f"""SELECT scene_id, CASE WHEN enemies=0 THEN ' no enemies.' ELSE ' '||({q('enemies')})||
         CASE WHEN enemies>1 THEN ' enemies.' ELSE ' enemy.' END END AS phrase FROM counts"""),
-    "d04_floor_class": (_feature(floor_text=lambda: D.floor_phrase(ROWS, P)),
+    "d04_floor_class": (_feature(floor_text=lambda: D.floor_phrase(F.col("rows"), P)),
                         BASE + "SELECT scene_id, floor_text FROM floors"),
     "d05_ceiling_class": (ceiling_rows, BASE + "SELECT scene_id, r, t AS ceiling_text FROM ceils"),
     "d06_ceiling_search": (ceiling_search, BASE + """
 SELECT scene_id, cr AS ceiling_row, ceiling_text FROM ceiling"""),
     "d07_double_floor": (
-        _feature(floor_rows=lambda: F.size(D.floor_rows(ROWS))),
+        _feature(floor_rows=lambda: F.size(D.floor_rows(F.col("rows")))),
         BASE + "SELECT scene_id, count(*) AS floor_rows FROM floorrows GROUP BY scene_id"),
     "d08_horizontal_runs": (coin_runs, COIN_RUNS + "SELECT scene_id, r, c0, c1 FROM coinruns"),
     "d08_platform_runs": (
@@ -229,7 +228,7 @@ SELECT scene_id, cr AS ceiling_row, ceiling_text FROM ceiling"""),
     "d10_describe_runs": (described_runs, DESCRIBED),
     "d11_location_bucket": (tile_places, BASE + f"""
 SELECT {_location_sql('c', 'r')} AS place, count(*) AS n FROM cells WHERE ch='E' GROUP BY 1"""),
-    "d12_broken_cannons": (_feature(broken=lambda: D.broken_cannons(ROWS, P)),
+    "d12_broken_cannons": (_feature(broken=lambda: D.broken_cannons(F.col("rows"), P)),
                            BASE + "SELECT scene_id, broken FROM counts"),
     "d13_staircases": (_shapes(_stairs), BASE + "SELECT scene_id, kind, c, r, n FROM stairs"),
     "d14_components": (solid_labels, SOLID_LABELS),

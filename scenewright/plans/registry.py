@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["platformer"]
+MODULES = ["platformer", "other_games", "captions"]
 
 
 def registered() -> dict[str, tuple]:
