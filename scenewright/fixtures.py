@@ -239,3 +239,35 @@ fx_pairs AS (
   SELECT a.id AS sample_id, a.caption AS prompt, b.caption AS generated
   FROM fx_text a JOIN fx_text b ON a.id = b.id AND a.side = 'p' AND b.side = 'g'),
 fx_known AS (SELECT id AS item_id, caption FROM fx_text WHERE side = 'k')"""
+
+
+# ------------------------------------------------------------------ run logs
+def run_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``(grp, run, epoch, ts, loss)``: one log per event type and user."""
+    from scenewright.operators.ranking import group_rank
+
+    events = table(spark, sf_dir, "events").select(
+        F.col("event_type").alias("grp"), F.col("user_id").alias("run"), "ts", "event_id",
+        F.col("value").alias("loss"))
+    return group_rank(events, ["grp", "run"], ["ts", "event_id"], "epoch")
+
+
+def score_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``(grp, run, line_no, epoch, score)`` with repeated epochs."""
+    from scenewright.operators.ranking import group_rank
+
+    events = table(spark, sf_dir, "events").select(
+        F.col("event_type").alias("grp"), (F.col("user_id") % 10).alias("run"), "ts", "event_id",
+        (F.col("value") / 100.0).alias("score"))
+    lines = group_rank(events, ["grp", "run"], ["ts", "event_id"], "line_no")
+    return lines.withColumn("epoch", (F.col("line_no") % 50).cast("int"))
+
+
+LOG_SQL = """
+fx_run_log AS (
+  SELECT event_type AS grp, user_id AS run, event_id, ts, value AS loss,
+    row_number() OVER (PARTITION BY event_type, user_id ORDER BY ts, event_id) - 1 AS epoch FROM events),
+fx_score_log AS (
+  SELECT grp, run, line_no, CAST(line_no % 50 AS INT) AS epoch, score FROM (
+    SELECT event_type AS grp, user_id % 10 AS run, value / 100.0 AS score,
+      row_number() OVER (PARTITION BY event_type, user_id % 10 ORDER BY ts, event_id) - 1 AS line_no FROM events))"""

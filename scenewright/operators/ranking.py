@@ -45,3 +45,39 @@ def global_rank(df: DataFrame, keys: list[str], name: str = "rank", buckets: int
         placed.withColumn("_within", within).join(F.broadcast(before), "_bucket")
         .withColumn(name, F.col("_within") + F.col("_before")).drop("_bucket", "_within", "_before")
     )
+
+
+def group_rank(df: DataFrame, by: list[str], order: list[str], name: str = "pos") -> DataFrame:
+    """0-based position of each row inside its group, without a task per group.
+
+    Rows are ranked globally by group and order; the group's first rank is
+    subtracted. ``by + order`` must identify rows.
+    """
+    from scenewright.operators.joins import lookup_join
+
+    ranked = global_rank(df, [*by, *order], "_at")
+    starts = ranked.groupBy(*by).agg(F.min("_at").alias("_start"))
+    return lookup_join(ranked, starts, by).withColumn(
+        name, F.col("_at") - F.col("_start")).drop("_at", "_start")
+
+
+def group_quantiles(df: DataFrame, by: list[str], value: str, tie: list[str],
+                    probabilities: dict[str, float]) -> DataFrame:
+    """Exact quantiles per group with linear interpolation.
+
+    Values are picked by position, so no task holds a whole group. ``tie``
+    columns make rows of equal value distinct.
+    """
+    from scenewright.operators.joins import lookup_join
+
+    ranked = group_rank(df.where(F.col(value).isNotNull()).select(*by, value, *tie), by,
+                        [value, *tie], "_k")
+    sizes = ranked.groupBy(*by).agg(F.count("*").alias("_n"))
+    joined = lookup_join(ranked, sizes, by)
+    picks = []
+    for name, p in probabilities.items():
+        at = F.lit(p) * (F.col("_n") - 1)
+        low, part = F.floor(at), at - F.floor(at)
+        weight = F.when(F.col("_k") == low, 1.0 - part).when(F.col("_k") == low + 1, part)
+        picks.append(F.sum(F.when(weight > 0, weight * F.col(value))).alias(name))
+    return joined.groupBy(*by).agg(*picks)

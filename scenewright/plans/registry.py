@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["platformer", "other_games", "captions", "metrics"]
+MODULES = ["grids", "platformer", "other_games", "captions", "metrics", "runs"]
 
 
 def registered() -> dict[str, tuple]:
