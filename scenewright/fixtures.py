@@ -50,6 +50,8 @@ def spread(df: DataFrame) -> DataFrame:
 
     Large inputs already have many splits and pass through untouched.
     """
+    if df.isStreaming:
+        return df
     want = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(want) if df.rdd.getNumPartitions() < want else df
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -39,3 +40,13 @@ def cut_lineage(df: DataFrame) -> DataFrame:
             raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="scenewright-checkpoint-"))
     return df.checkpoint(eager=True)
+
+
+def scratch_folder(spark: SparkSession, purpose: str) -> str:
+    """A new folder under the shared one the session names (local sessions: a temporary one)."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
+        return tempfile.mkdtemp(prefix=f"scenewright-{purpose}-")
+    return f"{named.rstrip('/')}/scenewright-{purpose}-{uuid.uuid4().hex}"
