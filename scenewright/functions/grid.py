@@ -239,24 +239,3 @@ def ids_from_rows(rows: Column, alphabet: str, default: int | None = None) -> Co
         return known if default is None else F.coalesce(known, F.lit(default))
 
     return F.transform(rows, lambda row: F.transform(F.split(row, ""), one))
-
-
-def tile_planes(rows: Column, game: Game) -> Column:
-    """Tile ids bit-sliced into 64-cell words, ``ARRAY<BIGINT>``.
-
-    Plane ``k`` holds bit ``k`` of every id. Cells differ exactly when any plane
-    differs, so Hamming distance is popcount of the OR of the XORs.
-    """
-    alphabet = game.alphabet
-    n_planes = max(1, (len(alphabet) - 1).bit_length())
-    flat = F.array_join(rows, "")
-    planes = []
-    for k in range(n_planes):
-        marks = "".join("1" if (i >> k) & 1 else "0" for i in range(len(alphabet)))
-        planes.append(
-            F.transform(
-                F.regexp_extract_all(F.translate(flat, alphabet, marks), F.lit(".{1,64}"), F.lit(0)),
-                lambda word: F.conv(word, 2, -10).cast("bigint"),
-            )
-        )
-    return F.concat(*planes)

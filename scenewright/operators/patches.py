@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from scenewright.functions.tokens import unit_hash
@@ -21,10 +22,9 @@ def center_counts(patches: DataFrame, n: int, threshold: float = 0.001) -> DataF
     """Center tile frequency and its keep probability under subsampling."""
     counts = patches.select(center_and_context(F.col("patch"), n)["center"].alias("center")).groupBy(
         "center").agg(F.count("*").alias("n"))
-    total = counts.agg(F.sum("n").alias("_total"))
-    share = F.col("n") / F.col("_total")
+    share = F.col("n") / F.sum("n").over(W.partitionBy(F.lit(0)))  # one row per tile kind
     keep = (F.sqrt(share / threshold) + 1) * (threshold / share)
-    return counts.join(F.broadcast(total)).select("center", "n", F.least(keep, F.lit(1.0)).alias("keep"))
+    return counts.select("center", "n", F.least(keep, F.lit(1.0)).alias("keep"))
 
 
 def skipgram_pairs(patches: DataFrame, n: int, keep: DataFrame | None = None, seed: int = 0) -> DataFrame:
@@ -50,8 +50,8 @@ def tile_scaling(cells: DataFrame, alphabet: str, root: int) -> DataFrame:
     known = F.broadcast(every).join(counts, "ch", "left").select(
         "tile", F.greatest(F.coalesce("n", F.lit(0)), F.lit(1)).alias("n"))
     powered = known.withColumn("_s", F.pow("n", F.lit(1.0 / root)))
-    least = powered.agg(F.min("_s").alias("_least"))
-    return powered.join(F.broadcast(least)).select("tile", "n", (F.col("_s") / F.col("_least")).alias("scaling"))
+    least = F.min("_s").over(W.partitionBy(F.lit(0)))  # one row per tile kind
+    return powered.select("tile", "n", (F.col("_s") / least).alias("scaling"))
 
 
 def dot(a: Column, b: Column) -> Column:

@@ -18,17 +18,17 @@ from scenewright.plans.platformer_sql import captions as platformer_captions
 TARGETS = [t for t in P.topics if "broken" not in t]
 
 
-def _planes(df: DataFrame) -> DataFrame:
-    return df.select(F.col("scene_id").alias("id"), G.tile_planes(F.col("rows"), P).alias("planes"))
+def _grids(df: DataFrame) -> DataFrame:
+    return df.select(F.col("scene_id").alias("id"), F.array_join("rows", "").alias("grid"))
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _planes(X.scenes(spark, sf_dir))
+    return _grids(X.scenes(spark, sf_dir))
 
 
 def _known(spark: SparkSession, sf_dir: str) -> DataFrame:
     items = X.table(spark, sf_dir, "benchmark").select("item_id", "text")
-    return _planes(X.scenes_from_text(items, "platformer", "item_id"))
+    return _grids(X.scenes_from_text(items, "platformer", "item_id"))
 
 
 def nearest_self(spark: SparkSession, sf_dir: str) -> DataFrame:

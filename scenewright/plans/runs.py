@@ -196,11 +196,11 @@ def attached(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def audited(spark: SparkSession, sf_dir: str) -> DataFrame:
-    runs = X.table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("run"))
-    kinds = X.table(spark, sf_dir, "customer").select(F.col("c_mktsegment").alias("artefact")).distinct()
-    kinds = kinds.agg(F.collect_set("artefact").alias("a"))  # five market segments
-    manifest = runs.join(F.broadcast(kinds)).select("run", F.explode("a").alias("artefact"),
-                                                    F.lit(12).alias("expected"), F.lit(True).alias("needs_prompt"))
+    segments = X.table(spark, sf_dir, "customer").select(F.col("c_mktsegment").alias("artefact")).distinct()
+    wanted = segments.agg(F.collect_set("artefact").alias("artefacts"), F.lit(0).alias("k"))  # five segments
+    runs = X.table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("run"), F.lit(0).alias("k"))
+    manifest = runs.join(wanted, "k").select("run", F.explode("artefacts").alias("artefact"),
+                                             F.lit(12).alias("expected"), F.lit(True).alias("needs_prompt"))
     found = X.table(spark, sf_dir, "customer").groupBy(
         F.col("c_nationkey").alias("run"), F.col("c_mktsegment").alias("artefact")).agg(
         F.count("*").alias("found"), (F.min("c_acctbal") > -900).alias("has_prompt"))
