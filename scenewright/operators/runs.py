@@ -27,7 +27,9 @@ def first_last(log: DataFrame, run: list[str], line: str, ts: str) -> DataFrame:
 
 
 def seconds(ts: Column) -> Column:
-    return F.unix_timestamp(F.date_trunc("second", ts.cast("timestamp")))
+    """Whole seconds of a wall-clock time, whatever zone the session is in."""
+    text = F.date_format(ts.cast("timestamp_ntz"), "yyyy-MM-dd HH:mm:ss")
+    return F.unix_timestamp(F.concat(text, F.lit(" +0000")), "yyyy-MM-dd HH:mm:ss xx")
 
 
 def running_extreme(log: DataFrame, run: list[str], epoch: str, value: Column, name: str,

@@ -119,6 +119,11 @@ def decoded(spark: SparkSession, sf_dir: str) -> DataFrame:
     return same.groupBy("same").agg(F.count("*").alias("n"))
 
 
+def square(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _scene_ids(spark, sf_dir).groupBy(S.is_square(F.col("scene"), 16).alias("square")).agg(
+        F.count("*").alias("n"))
+
+
 def grouped(spark: SparkSession, sf_dir: str) -> DataFrame:
     cells = D.explode_cells(X.scenes(spark, sf_dir, "directional"), "scene_id")
     small = S.grouped_alphabet(DIRECTIONAL)
@@ -284,6 +289,7 @@ SELECT ch, instr('{S.grouped_alphabet(DIRECTIONAL)}', CASE WHEN instr('{DIRECTIO
 FROM fx_cells GROUP BY ALL"""),
     "b03_wrap_tiles": (_ids(lambda s: S.wrap_tiles(s, 8)), ids_sql(f"({ID}) % 8")),
     "b04_one_hot_decode": (decoded, "WITH " + X.scene_sql() + " SELECT true AS same, count(*) AS n FROM fx_grid"),
+    "b08_validate_patches": (square, "WITH " + X.scene_sql() + " SELECT true AS square, count(*) AS n FROM fx_grid"),
     "b07_validate_scene": (reasons, "WITH " + X.scene_sql("ladder") + """
 SELECT CASE WHEN NOT contains(grid, 'M') THEN 'no spawn' WHEN NOT contains(grid, 'G') THEN 'no gold' ELSE 'fine' END AS reason,
   count(*) AS n FROM fx_grid GROUP BY 1"""),

@@ -328,6 +328,9 @@ p AS (SELECT grp, epoch, avg(score) AS mean, coalesce(stddev_samp(score), 0) AS
 SELECT grp, epoch, round(mean, 6) AS mean, round(std, 6) AS std, n, {HALF} AS half_width FROM p"""),
     "g13_t_confidence_interval": (matrix, f"""
 WITH p AS (SELECT lang, source, count(*) AS n, avg(n_chars) AS mean, coalesce(stddev_samp(n_chars), 0) AS std FROM documents GROUP BY ALL)
+SELECT lang, source, n, round(mean, 6) AS mean, round(std, 6) AS std, {HALF} AS half_width FROM p"""),
+    "g14_model_mode_matrix": (matrix, f"""
+WITH p AS (SELECT lang, source, count(*) AS n, avg(n_chars) AS mean, coalesce(stddev_samp(n_chars), 0) AS std FROM documents GROUP BY ALL)
 SELECT lang, source, n, round(mean, 6) AS mean, round(std, 6) AS std, {HALF} AS half_width FROM p"""),
     "g16_distribution": (five, """
 SELECT o_orderpriority, min(o_totalprice) AS low, round(quantile_cont(o_totalprice, 0.25), 6) AS q1, round(median(o_totalprice), 6) AS median,
