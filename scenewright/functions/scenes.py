@@ -76,10 +76,15 @@ def metric_lines(text: Column) -> Column:
     return F.transform(lines, parse)
 
 
+# Words that mark a line without a colon as an error; fixed values.
+ERROR_WORDS = ["Invalid or corrupt jarfile", "Exception", "Error"]
+
+
 def error_line(text: Column) -> Column:
     """Does a line without a colon report an error?"""
-    return F.exists(F.split(text, "\n"), lambda x: ~x.contains(":") & (
-        x.contains("Invalid or corrupt jarfile") | x.contains("Exception") | x.contains("Error")))
+    words = F.array(*[F.lit(w) for w in ERROR_WORDS])
+    return F.exists(F.split(text, "\n"), lambda x: ~x.contains(":") & F.exists(
+        words, lambda w: x.contains(w)))
 
 
 def experiment_spec(spec: Column) -> Column:

@@ -14,6 +14,7 @@ from scenewright.plans.platformer import caption_with_absence
 from scenewright.plans.platformer_sql import captions as platformer_captions
 
 TOPICS = PLATFORMER.topics
+# Phrase buckets in matching order; fixed values.
 PATTERNS = ["floor", "ceiling", "platform", "rectangular", "irregular", "enem", "ladder", "gold",
             "rope", "chamber", "background area", "diggable ground", "solid ground", "pipe", "coin",
             "tower", "cannon", "staircase", "question block", "loose block", "entrance direction",
