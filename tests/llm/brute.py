@@ -79,3 +79,26 @@ def near_dedup(docs, k=3, percent=85):
             x, y = find(a), find(b)
             parent[max(x, y)] = min(x, y)
     return sorted((d, len(sets[d]), find(d), find(d) == d) for d, _ in docs)
+
+
+ITEM_WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+
+
+def decontaminate(docs, items, width=10):
+    windows = defaultdict(set)
+    for i, t in items:
+        w = ITEM_WORD.findall(ascii_lower(t or ""))
+        n = min(len(w), width)
+        for p in range(len(w) - n + 1 if n else 0):
+            windows[tuple(w[p : p + n])].add(str(i))
+    out = []
+    for d, t in docs:
+        w = ITEM_WORD.findall(ascii_lower(t or ""))
+        hit, found = set(), set()
+        for n in {len(k) for k in windows}:
+            for p in range(len(w) - n + 1):
+                if (who := windows.get(tuple(w[p : p + n]))) is not None:
+                    hit.update(range(p, p + n))
+                    found |= who
+        out.append((d, len(w), len(hit), len(found), sha(",".join(sorted(found)).encode()), bool(hit)))
+    return sorted(out)
