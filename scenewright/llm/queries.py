@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scenewright.llm import debruijn, minhash, suffixes, winnow
+from scenewright.llm import debruijn, idcoder, minhash, packing, suffixes, winnow
 from scenewright.llm.corpus import table
 
 
@@ -29,8 +29,23 @@ def op4_winnowing_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
                         F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
 
 
+def tokenizer_file(name: str) -> str:
+    """Where a public tokenizer's file is; executors have it at the same place."""
+    import public_tokenizers
+
+    return str(public_tokenizers.path(name))
+
+
+def op5_retrieval_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"), 2048, 1)
+
+
+def op7_token_id_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return idcoder.round_trip(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"), 2)
+
+
 QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_minhash_near_dedup, op3_suffix_array_dedup,
-                                op4_winnowing_decontamination)}
+                                op4_winnowing_decontamination, op5_retrieval_packing, op7_token_id_files)}
 SQL: dict[str, str] = {}
 
 
