@@ -12,13 +12,11 @@
    member that meets most others over all bands. Pairs whose estimate is far
    below the threshold go; the rest is confirmed on the full shingle sets.
 4. Confirmed links are contracted to components (large star, small star). Every
-   bucket that still holds several components is then searched in blocks of
-   bounded size: each member asks for its best untested partners of other
-   components, more of them each round. That repeats until no such pair is left, so no link is lost that
-   could join two components.
-
-Work per round is linear in the members of unresolved buckets; a block is at
-most ``BLOCK`` x ``BLOCK`` signatures.
+   bucket that still holds several components is then searched in blocks of at
+   most ``BLOCK`` x ``BLOCK`` members: rows with a good enough estimate across
+   components are confirmed there on their full sets, all of them, and a block
+   returns just the links that join components. So no link is lost that joins
+   two components, and no step emits the pairs of a group.
 
 Defined cases: null, empty or blank texts have an empty set and link with
 nothing; with fewer words than a shingle the whole sequence is one shingle;
@@ -43,9 +41,9 @@ HASHES = BANDS * ROWS
 PLANE = 2  # 64-bit words of a plane
 #: How far below the threshold an estimate may be before a pair is not confirmed: almost four standard errors.
 SLACK = 0.12
-BLOCK = 1024
-#: Partners a member may ask for in the first search round; each later round allows four times as many.
-FIRST_PARTNERS = 8
+BLOCK = 512
+#: Groups that small buckets are dealt to.
+SLOTS = 1024
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
@@ -175,62 +173,120 @@ def components(links: DataFrame) -> DataFrame:
         seen = state
 
 
-def _partners(table: pa.Table, cut: float, most: int) -> pa.Table:
-    """In each block of a bucket: every member's best untested partners of other components."""
-    bucket, i, j = (table[c].to_numpy() for c in ("band", "i", "j"))
-    side, node, comp = (table[c].to_numpy() for c in ("side", "node", "component"))
-    planes = np.array(table["planes"].to_pylist(), np.int64).astype(np.uint64).reshape(len(node), -1)
-    tested = table["tested"].to_pylist()
+def _blocks(table: pa.Table):
+    """(band, left rows, right rows) of every block in the group."""
+    band, i, j, side = (table[c].to_numpy() for c in ("band", "i", "j", "side"))
+    block = A.mix(band.astype(np.uint64) + A.mix((i.astype(np.uint64) << np.uint64(32)) + j.astype(np.uint64)))
+    for _, (rows,) in A.by_bucket(block.view(np.int64), [np.arange(len(band))]):
+        yield band[rows[0]], rows[side[rows] == i[rows]], rows[side[rows] == j[rows]]
+
+
+def _open_rows(table: pa.Table, cut: float) -> pa.Table:
+    """Rows of a block with a partner in another component whose estimate reaches ``cut``.
+
+    A pair counts in the first band that both share, so it is looked at once.
+    """
+    comp = table["component"].to_numpy()
+    planes = np.array(table["planes"].to_pylist(), np.int64).astype(np.uint64).reshape(len(comp), -1)
+    bands = np.array(table["bands"].to_pylist(), np.int64).reshape(len(comp), -1)
     chance = 2.0**-BITS
     limit = int(HASHES * (1 - (cut * (1 - chance) + chance)))  # most differing codes of an estimate of cut
-    out_a, out_b = [], []
-    for _, (rows,) in A.by_bucket(A.mix(bucket.astype(np.uint64) + A.mix((i * 65537 + j).astype(np.uint64))).view(np.int64),
-                                  [np.arange(len(node))]):
-        left = rows[side[rows] == i[rows]]
-        right = rows[side[rows] == j[rows]]
-        order = np.argsort(node[right], kind="stable")
-        right = right[order]
-        for x in left.tolist():
-            differ = np.zeros(len(right), np.int64)
+    wanted = np.zeros(len(comp), bool)
+    for band, left, right in _blocks(table):
+        for at in range(0, len(left), 64):
+            some = left[at : at + 64]
+            differ = np.zeros((len(some), len(right)), np.int64)
             for word in range(PLANE):
-                d = np.zeros(len(right), np.uint64)
+                d = np.zeros(differ.shape, np.uint64)
                 for bit in range(BITS):
-                    d |= planes[right, bit * PLANE + word] ^ planes[x, bit * PLANE + word]
+                    column = bit * PLANE + word
+                    d |= planes[some, column][:, None] ^ planes[right, column][None, :]
                 differ += np.bitwise_count(d)
-            differ[comp[right] == comp[x]] = HASHES + 1
-            if tested[x]:
-                at = np.searchsorted(node[right], tested[x])
-                at = at[at < len(right)]
-                at = at[np.isin(node[right][at], tested[x])]
-                differ[at] = HASHES + 1
-            near = np.flatnonzero(differ <= limit)
-            if len(near) > most:
-                near = near[np.argpartition(differ[near], most)[:most]]
-            for y in node[right[near]].tolist():
-                out_a.append(max(int(node[x]), y))
-                out_b.append(min(int(node[x]), y))
+            x, y = np.nonzero((differ <= limit) & (comp[some][:, None] != comp[right][None, :]))
+            for lo in range(0, len(x), 1 << 16):
+                u, v = some[x[lo : lo + (1 << 16)]], right[y[lo : lo + (1 << 16)]]
+                first = (bands[u] == bands[v]).argmax(axis=1)
+                here = bands[u, first] == band
+                wanted[u[here]] = True
+                wanted[v[here]] = True
+    return table.select(["band", "i", "j", "side", "node", "component", "slot"]).filter(pa.array(wanted))
+
+
+def _overlaps(sets, left, right) -> np.ndarray:
+    """Sizes of all intersections of left and right sets, by products of 0/1 columns of shared shingles."""
+    rows = np.unique(np.concatenate([left, right]))
+    values = np.concatenate([sets[r] for r in rows.tolist()])
+    owner = np.repeat(rows, [len(sets[r]) for r in rows.tolist()])
+    _, code, count = np.unique(values, return_inverse=True, return_counts=True)
+    renumber = np.cumsum(count > 1) - 1
+    shared = count[code] > 1
+    code, owner = renumber[code[shared]], owner[shared]
+    order = np.argsort(code, kind="stable")
+    code, owner = code[order], owner[order]
+    place = {}
+    for name, side in (("left", left), ("right", right)):
+        place[name] = np.full(int(rows[-1]) + 1, -1)
+        place[name][side] = np.arange(len(side))
+    out = np.zeros((len(left), len(right)), np.float32)
+    for lo in range(0, int(code[-1]) + 1 if len(code) else 0, 4096):
+        a, b = np.searchsorted(code, [lo, lo + 4096])
+        c, o = code[a:b] - lo, owner[a:b]
+        width = int(c.max()) + 1 if b > a else 0
+        m = []
+        for name, side in (("left", left), ("right", right)):
+            bits = np.zeros((len(side), width), np.float32)
+            has = place[name][o] >= 0
+            bits[place[name][o[has]], c[has]] = 1
+            m.append(bits)
+        out += m[0] @ m[1].T
+    return out
+
+
+def _block_links(table: pa.Table, k: int, percent: int) -> pa.Table:
+    """Exact links between components inside each block, as few as join what is joined."""
+    node, comp = table["node"].to_numpy(), table["component"].to_numpy()
+    texts = table["text"].combine_chunks().dictionary_encode()
+    sets = [s for _, some in shingle_sets(texts.dictionary, k) for s in some]
+    sets = [sets[i] for i in texts.indices.to_pylist()]
+    size = np.array([len(s) for s in sets])
+    out_a, out_b = [], []
+    for _, left, right in _blocks(table):
+        both = _overlaps(sets, left, right).astype(np.int64)
+        either = size[left][:, None] + size[right][None, :] - both
+        x, y = np.nonzero((100 * both >= percent * either) & (comp[left][:, None] != comp[right][None, :]))
+        root = {}
+        for u, v in zip(left[x].tolist(), right[y].tolist()):
+            p, q = int(comp[u]), int(comp[v])
+            while p in root:
+                p = root[p]
+            while q in root:
+                q = root[q]
+            if p != q:
+                root[max(p, q)] = min(p, q)
+                out_a.append(max(int(node[u]), int(node[v])))
+                out_b.append(min(int(node[u]), int(node[v])))
     return pa.table({"a": pa.array(out_a, pa.int64()), "b": pa.array(out_b, pa.int64())})
 
 
-def next_pairs(shared: DataFrame, signed: DataFrame, comp: DataFrame, tested: DataFrame, cut: float,
-               most: int) -> DataFrame:
-    """Untested pairs across components, from buckets that still hold several components."""
+def block_links(shared: DataFrame, heads: DataFrame, comp: DataFrame, texts: DataFrame, cut: float, k: int,
+                percent: int) -> DataFrame:
+    """Links (a, b) across components, from buckets that still hold several components."""
     member = (shared.join(comp, "node", "left")
               .select("band", "node", F.coalesce("component", "node").alias("component")))
     bucket = (member.groupBy("band").agg(F.count("*").alias("n"), F.min("component").alias("lo"),
                                          F.max("component").alias("hi")).where("lo <> hi").select("band", "n"))
-    known = (tested.select("a", "b").unionByName(tested.select(F.col("b").alias("a"), F.col("a").alias("b")))
-             .groupBy("a").agg(F.sort_array(F.collect_set("b")).alias("tested")).withColumnRenamed("a", "node"))
     blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    side = F.pmod(F.xxhash64("node"), blocks).cast("int")
-    rows = (member.join(bucket, "band").join(signed.select("node", "planes"), "node").join(known, "node", "left")
-            .withColumn("side", side).withColumn("blocks", blocks)
+    slot = F.pmod(F.xxhash64("band", "i", "j"), F.lit(SLOTS))
+    rows = (member.join(bucket, "band").join(heads.select("node", "planes", "bands"), "node")
+            .withColumn("blocks", blocks).withColumn("side", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
             .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-            .withColumn("i", F.least("side", "other")).withColumn("j", F.greatest("side", "other")))
-    slot = F.pmod(F.xxhash64("band", "i", "j"), F.lit(4096))
-    return (rows.select("band", "i", "j", "side", "node", "component", "planes", "tested",
-                        F.when(F.col("blocks") > 1, F.xxhash64("band", "i", "j")).otherwise(slot).alias("slot"))
-            .groupBy("slot").applyInArrow(lambda t: _partners(t, cut, most), "a long, b long").distinct())
+            .withColumn("i", F.least("side", "other")).withColumn("j", F.greatest("side", "other"))
+            .select("band", "i", "j", "side", "node", "component", "planes", "bands",
+                    F.when(F.col("blocks") > 1, F.xxhash64("band", "i", "j")).otherwise(slot).alias("slot")))
+    open_rows = rows.groupBy("slot").applyInArrow(
+        lambda t: _open_rows(t, cut), "band long, i int, j int, side int, node long, component long, slot long")
+    return (open_rows.join(texts.withColumnRenamed("doc_id", "node"), "node")
+            .groupBy("slot").applyInArrow(lambda t: _block_links(t, k, percent), "a long, b long"))
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
@@ -267,14 +323,8 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     texts = stored(docs.join(degree.select(F.col("node").alias("doc_id")), "doc_id").dropDuplicates(["doc_id"]), "texts")
     tested = stored(confirmed(pairs, texts, k, percent), "tested")
     comp = components(tested.where("linked").select("a", "b"))
-    most = FIRST_PARTNERS
-    while True:
-        more = stored(next_pairs(shared.select("band", "node"), planes, comp, tested, cut, most), "pairs")
-        if more.isEmpty():
-            break
-        tested = stored(tested.unionByName(confirmed(more, texts, k, percent)), "tested")
-        comp = components(tested.where("linked").select("a", "b"))
-        most *= 4
+    more = block_links(shared.select("band", "node"), heads, comp, texts, cut, k, percent)
+    comp = components(tested.where("linked").select("a", "b").unionByName(more))
     label = (classes.join(comp, "node", "left")
              .select("set_key", F.coalesce("component", "node").alias("component_id")))
     return (signed.select("doc_id", "n_shingles", "set_key").join(label, "set_key", "left")
