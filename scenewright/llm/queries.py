@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scenewright.llm import debruijn, idcoder, minhash, packing, suffixes, winnow
+from scenewright.llm import debruijn, idcoder, language, lines, minhash, packing, pii, rules, suffixes, winnow
 from scenewright.llm.corpus import table
 
 
@@ -44,8 +44,34 @@ def op7_token_id_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return idcoder.round_trip(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"), 2)
 
 
+def op6_rule_ensemble_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rules.score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op8_line_cleaning(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = lines.clean_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return docs.select("doc_id", *(f"cleaning.{c}" for c in (
+        "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")))
+
+
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.identify(table(spark, sf_dir, "documents"))
+
+
+def op10_surrogate_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.replace_entities(table(spark, sf_dir, "documents").select("doc_id", "text"), count="n_entities")
+
+
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_minhash_near_dedup, op3_suffix_array_dedup,
-                                op4_winnowing_decontamination, op5_retrieval_packing, op7_token_id_files)}
+                                op4_winnowing_decontamination, op5_retrieval_packing, op6_rule_ensemble_quality,
+                                op7_token_id_files, op8_line_cleaning, op9_language_id,
+                                op10_surrogate_pii, pipeline)}
 SQL: dict[str, str] = {}
 
 
