@@ -42,6 +42,8 @@ def with_tile_bitmaps(df: DataFrame, game: Game, classes: dict[str, str]) -> Dat
     """
     def one_shape(text: list[str], height: int) -> list[np.ndarray]:
         width = len(text[0]) // height
+        if width >= MAX_WIDTH:
+            raise ValueError(f"rows of {width} tiles do not fit one bitmap of {MAX_WIDTH - 1}; cut the level first")
         codes = np.array([t.encode("ascii") for t in text], dtype=f"S{height * width}")
         codes = codes.view(np.uint8).reshape(-1, width)
         weight = np.int64(1) << np.arange(width, dtype=np.int64)

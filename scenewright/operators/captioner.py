@@ -37,6 +37,10 @@ def structure_text(kinds: Column, absent: list[str]) -> Column:
     return out
 
 
+# Width of the scene at hand, as SQL.
+WIDTH_SQL = "length(rows[0])"
+
+
 def placed(kind: Column, comp: Column, game: Game, where: str | None) -> Column:
     if where is None:
         return kind
@@ -72,8 +76,8 @@ def with_shapes(scenes: DataFrame, absence: bool = False, where: str | None = No
                      F.array(F.lit(0).cast("bigint")))
     df = df.withColumn("coin_run_bits", F.transform(coins, lambda b: G.run_mask(b, 2))).withColumn(
         "platform_bits", F.transform(platform, lambda b: G.run_mask(b, 2)))
-    df = with_staircases(df, "up_stairs", -1, width=game.width)
-    df = with_staircases(df, "down_stairs", 1, width=game.width)
+    df = with_staircases(df, "up_stairs", -1, width=WIDTH_SQL)
+    df = with_staircases(df, "down_stairs", 1, width=WIDTH_SQL)
     solid = F.col("solid_bits")
     df = df.withColumn("up_bits", staircase_bits(F.col("up_stairs"), solid, -1)).withColumn(
         "down_bits", staircase_bits(F.col("down_stairs"), solid, 1))
@@ -88,9 +92,9 @@ def with_shapes(scenes: DataFrame, absence: bool = False, where: str | None = No
     df = df.withColumn(
         "free_bits", G.minus_rows(G.minus_rows(solid, F.col("pipe_bits")), F.col("claimed_bits")))
     df = df.withColumn(
-        "_pipes", components(F.col("pipe_bits"), game.width, tile("no_right"),
+        "_pipes", components(F.col("pipe_bits"), F.length(rows[0]), tile("no_right"),
                              tile("no_left"))
-    ).withColumn("_blocks", components(F.col("free_bits"), game.width, min_cells=3))
+    ).withColumn("_blocks", components(F.col("free_bits"), F.length(rows[0]), min_cells=3))
     df = df.withColumns({"pipes": F.col("_pipes.boxes"), "blocks": F.col("_blocks.boxes"),
                          "block_bits": F.col("_blocks.bits")})
     df = with_pipe_lips(df, {name: tile(name) for name in PIPE_TILES})
@@ -192,13 +196,14 @@ def phrase_cells(scenes: DataFrame, key: str = "scene_id", game: Game = PLATFORM
     ).select(key, "t.topic", F.explode_outer(G.set_cells(F.col("t.mask"))).alias("cell"))
 
     def by_component(mask: str, comps: str, kinds: str, *edges: Column) -> DataFrame:
+        width = F.length(F.col("rows")[0])
         named = F.map_from_arrays(F.transform(comps, lambda k: k["label"]), F.col(kinds))
-        labelled = df.withColumn("_l", component_labels(F.col(mask), game.width, *edges))
+        labelled = df.withColumn("_l", component_labels(F.col(mask), width, *edges))
         cells = let(named, lambda kind: F.filter(
             F.transform("_l", lambda label, p: F.struct(
                 F.element_at(kind, label).alias("topic"),
-                F.floor(p / game.width).cast("int").alias("r"),
-                (p % game.width).cast("int").alias("c"))),
+                F.floor(p / width).cast("int").alias("r"),
+                (p % width).cast("int").alias("c"))),
             lambda x: x["topic"].isNotNull()))
         return labelled.select(
             key, F.explode_outer(cells).alias("t")

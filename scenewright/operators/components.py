@@ -39,6 +39,8 @@ def min_labels(mask: np.ndarray, no_right: np.ndarray, no_left: np.ndarray) -> n
     """
     height, width, _ = mask.shape
     off, shut_right, shut_left = _as_or_mask(~mask), _as_or_mask(no_right), _as_or_mask(no_left)
+    if height * width >= int(OFF):
+        raise ValueError(f"a scene of {height} x {width} cells is too large to label; cut it first")
     index = np.arange(height * width, dtype=np.int16).reshape(height, width, 1)
     label = np.where(mask, index, OFF)
     while True:
@@ -87,20 +89,41 @@ def _boxes(label: np.ndarray, width: int, min_cells: int) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets), structs)
 
 
-def components(mask: Column, width: int, no_right: Column | None = None,
+def _by_shape(mask: pa.Array, width: pa.Array, edges: list[pa.Array], run) -> pa.Array:
+    """``run(masks, edges, height, width)`` for the scenes of each shape, in the order of the batch."""
+    shapes = np.diff(mask.offsets.to_numpy()).astype(np.int64) << 32 | width.to_numpy(zero_copy_only=False).astype(np.int64)
+    parts, places = [], []
+    for shape in np.unique(shapes):
+        at = np.flatnonzero(shapes == shape)
+        pick = (lambda a: a) if len(at) == len(shapes) else (lambda a: a.take(pa.array(at)))
+        parts.append(run(pick(mask), [pick(e) for e in edges], int(shape >> 32), int(shape & 0xFFFFFFFF)))
+        places.append(at)
+    if len(parts) == 1:
+        return parts[0]
+    back = np.argsort(np.concatenate(places), kind="stable")
+    return pa.concat_arrays(parts).take(pa.array(back))
+
+
+def _width(width: int | Column) -> Column:
+    return F.lit(width) if isinstance(width, int) else width
+
+
+def components(mask: Column, width: int | Column, no_right: Column | None = None,
                no_left: Column | None = None, min_cells: int = 1) -> Column:
     """Components of at least ``min_cells``, ordered by label.
 
-    Returns ``STRUCT<boxes ARRAY<...>, bits ARRAY<BIGINT>>``: one box per
-    component and the mask restricted to those components.
+    ``width`` may differ from row to row, and so may the height. Returns
+    ``STRUCT<boxes ARRAY<...>, bits ARRAY<BIGINT>>``: one box per component and
+    the mask restricted to those components.
     """
-
-    @F.arrow_udf(f"struct<boxes:array<{COMPONENT}>,bits:array<bigint>>")
-    def find(mask: pa.Array, no_right: pa.Array, no_left: pa.Array) -> pa.Array:
-        n = len(mask)
-        height = len(mask[0]) if n else 1
-        label = _labels(mask, no_right, no_left, width) if n else np.zeros((0, width), np.int16)
-        cells = height * width
+    kind = pa.struct([("boxes", pa.list_(pa.struct([(f, pa.int32()) for f in (
+        "label", "top", "bottom", "left", "right", "cells")]))), ("bits", pa.list_(pa.int64()))])
+
+    def one_shape(mask: pa.Array, edges: list[pa.Array], height: int, width: int) -> pa.Array:
+        n, cells = len(mask), height * width
+        if cells == 0:
+            return pa.array([{"boxes": [], "bits": [0] * height}] * n, kind)
+        label = _labels(mask, *edges, width)
         key = np.arange(n)[:, None] * (cells + 1) + np.minimum(label, cells)
         sizes = np.bincount(key.reshape(-1), minlength=n * (cells + 1))
         keep = (label != OFF) & (sizes[key] >= min_cells)
@@ -111,24 +134,33 @@ def components(mask: Column, width: int, no_right: Column | None = None,
              pa.ListArray.from_arrays(pa.array(offsets), pa.array(bits.reshape(-1)))],
             ["boxes", "bits"])
 
-    return find(mask, cleared(mask) if no_right is None else no_right,
+    @F.arrow_udf(f"struct<boxes:array<{COMPONENT}>,bits:array<bigint>>")
+    def find(mask: pa.Array, width: pa.Array, no_right: pa.Array, no_left: pa.Array) -> pa.Array:
+        if len(mask) == 0:
+            return pa.array([], kind)
+        return _by_shape(mask, width, [no_right, no_left], one_shape)
+
+    return find(mask, _width(width), cleared(mask) if no_right is None else no_right,
                 cleared(mask) if no_left is None else no_left)
 
 
-def component_labels(mask: Column, width: int, no_right: Column | None = None,
+def component_labels(mask: Column, width: int | Column, no_right: Column | None = None,
                      no_left: Column | None = None) -> Column:
-    """Label per cell in row-major order, null where the mask is clear."""
-
-    @F.arrow_udf("array<int>")
-    def labels(mask: pa.Array, no_right: pa.Array, no_left: pa.Array) -> pa.Array:
-        n = len(mask)
-        if n == 0:
-            return pa.array([], pa.list_(pa.int32()))
-        label = _labels(mask, no_right, no_left, width)
+    """Label per cell in row-major order, null where the mask is clear; ``width`` as in ``components``."""
+    def one_shape(mask: pa.Array, edges: list[pa.Array], height: int, width: int) -> pa.Array:
+        if height * width == 0:
+            return pa.array([[]] * len(mask), pa.list_(pa.int32()))
+        label = _labels(mask, *edges, width)
         flat = label.reshape(-1)
         offsets = np.arange(0, len(flat) + 1, label.shape[1], dtype=np.int32)
         return pa.ListArray.from_arrays(
             pa.array(offsets), pa.array(flat.astype(np.int32), mask=flat == OFF))
 
-    return labels(mask, cleared(mask) if no_right is None else no_right,
+    @F.arrow_udf("array<int>")
+    def labels(mask: pa.Array, width: pa.Array, no_right: pa.Array, no_left: pa.Array) -> pa.Array:
+        if len(mask) == 0:
+            return pa.array([], pa.list_(pa.int32()))
+        return _by_shape(mask, width, [no_right, no_left], one_shape)
+
+    return labels(mask, _width(width), cleared(mask) if no_right is None else no_right,
                   cleared(mask) if no_left is None else no_left)

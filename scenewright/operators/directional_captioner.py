@@ -42,7 +42,7 @@ def with_directional_shapes(scenes: DataFrame, exit_direction: Column | None = N
     df = df.withColumn("claimed_bits", G.or_rows(
         F.col("moving_bits"), F.col("platform_bits"), F.col("_climb")))
     df = df.withColumn("_blocks", components(
-        G.minus_rows(F.col("_solid"), F.col("claimed_bits")), game.width, min_cells=3))
+        G.minus_rows(F.col("_solid"), F.col("claimed_bits")), F.length(F.col("rows")[0]), min_cells=3))
     return df.withColumn("loose_bits", G.minus_rows(
         G.minus_rows(F.col("_wall"), F.col("claimed_bits")), F.col("_blocks.bits")))
 

@@ -32,6 +32,8 @@ def generate_captions(draws: DataFrame, key: str, game: Game, seed: int, absence
     Every choice is a hash of seed, row key and topic, so a draw does not depend
     on partitioning or on other rows.
     """
+    if not game.phrases:
+        raise ValueError("this game has no phrase table to draw captions from")
     topics = [t for t in game.phrases if upside_down or t != "upside down pipe"]
     table = F.array(*[
         F.struct(F.lit(t).alias("topic"),

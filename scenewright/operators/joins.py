@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -9,9 +11,16 @@ BROADCAST_ROWS = 500_000
 SALTS = 16
 
 
+def null_safe_join(left: DataFrame, right: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
+    """Join on equal keys where null equals null, as it does in a grouping; one copy of the keys is kept."""
+    renamed = right.select(*[F.col(c).alias(f"_right_{c}") if c in on else F.col(c) for c in right.columns])
+    same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_right_{c}")) for c in on])
+    return left.join(renamed, same, how).drop(*[f"_right_{c}" for c in on])
+
+
 def lookup_join(facts: DataFrame, dimension: DataFrame, on: list[str], how: str = "inner",
                 max_rows: int = BROADCAST_ROWS, salts: int = SALTS) -> DataFrame:
-    """Join facts to a dimension with unique keys, whatever the key frequencies.
+    """Join facts to a dimension with unique keys, whatever the key frequencies; null equals null.
 
     A dimension of at most ``max_rows`` is broadcast. A larger one is shuffled;
     facts are then spread over ``salts`` copies of each key so that one frequent
@@ -19,8 +28,8 @@ def lookup_join(facts: DataFrame, dimension: DataFrame, on: list[str], how: str
     """
     n = dimension.limit(max_rows + 1).count()
     if n <= max_rows:
-        return facts.join(F.broadcast(dimension), on, how)
+        return null_safe_join(facts, F.broadcast(dimension), on, how)
     salted = facts.withColumn("_salt", F.pmod(F.xxhash64(*facts.columns), F.lit(salts)).cast("int"))
     copies = dimension.withColumn(
         "_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return salted.join(copies, [*on, "_salt"], how).drop("_salt")
+    return null_safe_join(salted, copies, [*on, "_salt"], how).drop("_salt")

@@ -37,22 +37,23 @@ def with_ladder_shapes(scenes: DataFrame, game: Game = LADDER) -> DataFrame:
         "rope_bits": inner(F.col("_rope")),
         "ladder_columns": G.class_bits(G.columns(rows), game, game.having("ladder")),
         "ladder_pair_bits": F.transform(inner(F.col("_ladder")), lambda b: G.run_mask(b, 2)),
-        "_blocks": components(F.col("_solid"), game.width),
-        "_areas": components(below_sky, game.width),
+        "_blocks": components(F.col("_solid"), F.length(rows[0])),
+        "_areas": components(below_sky, F.length(rows[0])),
     })
 
 
-def cluster_count(ladder: Column, pairs: Column, width: int) -> Column:
+def cluster_count(ladder: Column, pairs: Column, width: int | Column) -> Column:
     """Ladder components with two ladder tiles side by side above the last row."""
+    width = F.lit(width) if isinstance(width, int) else width
     labels = component_labels(ladder, width)
     at_pairs = F.zip_with(
         labels, F.flatten(F.transform(pairs, lambda b: F.transform(
-            F.sequence(F.lit(0), F.lit(width - 1)), lambda c: F.getbit(b, c)))),
+            F.sequence(F.lit(0), width - 1), lambda c: F.getbit(b, c)))),
         lambda label, on: F.when(on == 1, label))
     return F.size(F.array_distinct(F.array_compact(at_pairs)))
 
 
-def area_kinds(areas: Column, height: int, width: int) -> Column:
+def area_kinds(areas: Column, height: Column, width: Column) -> Column:
     """``STRUCT<chambers, open>`` counts: a chamber touches no border of the scene."""
     touches = lambda a: ((a["top"] == 0) | (a["bottom"] == height - 1)
                          | (a["left"] == 0) | (a["right"] == width - 1))
@@ -67,7 +68,7 @@ def ladder_caption(scenes: DataFrame, absence: bool = False, where: str | None =
     df = with_ladder_shapes(scenes, game)
     rows = F.col("rows")
     df = df.withColumn("n_clusters", cluster_count(F.col("_ladder"), F.col("ladder_pair_bits"),
-                                                   game.width))
+                                                   F.length(rows[0])))
     tiles = lambda chars: D.count_tiles(rows, game, chars)
     runs = lambda name: G.runs_of(F.col(name), 1)
     single_gold = G.bit_total(G.minus_rows(F.col("_gold"), F.col("gold_line_bits")))
@@ -93,7 +94,7 @@ def ladder_caption(scenes: DataFrame, absence: bool = False, where: str | None =
         lambda k: k.isNotNull())
     df = df.withColumns({
         "floor_text": D.floor_phrase(rows, game, absence), "block_kinds": kinds,
-        "areas": area_kinds(F.col("_areas.boxes"), game.height, game.width),
+        "areas": area_kinds(F.col("_areas.boxes"), F.size(rows), F.length(rows[0])),
     })
     caption = F.concat(
         F.when(F.col("floor_text") == "", "").otherwise(F.concat("floor_text", F.lit("."))),

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from scenewright.functions.quantity import clock
 from scenewright.games import T_975
-from scenewright.operators.joins import lookup_join
+from scenewright.operators.joins import lookup_join, null_safe_join
 from scenewright.operators.ranking import group_quantiles
 
 CHUNK = 1024  # epochs per piece of a running scan
@@ -47,7 +47,9 @@ def running_extreme(log: DataFrame, run: list[str], epoch: str, value: Column, n
         W.partitionBy(*run).orderBy("_piece").rowsBetween(W.unboundedPreceding, -1)).alias("_before"))
     inside = best("_v").over(W.partitionBy(*run, "_piece").orderBy(epoch).rowsBetween(
         W.unboundedPreceding, 0 if include_current else -1))
-    return pieces.withColumn("_inside", inside).join(before, [*run, "_piece"]).withColumn(
+    whole = pieces.withColumn("_inside", inside)
+    whole = null_safe_join(whole, before, [*run, "_piece"])
+    return whole.withColumn(
         name, pick("_inside", "_before")).drop("_v", "_piece", "_inside", "_before")
 
 
@@ -106,7 +108,7 @@ def run_durations(log: DataFrame, best: DataFrame, run: list[str], epoch: str, l
     keyed = lookup_join(lookup_join(log, best.select(*run, "best_epoch"), run), firsts, run)
     at_best = keyed.where((F.col(epoch) == F.col("best_epoch")) & (F.col(line) > F.col("_first"))
                           ).groupBy(*run).agg(F.min_by(ts, line).alias("best_ts"))
-    joined = ends.join(at_best, run, "left")
+    joined = null_safe_join(ends, at_best, run, "left")
     return joined.select(
         *run, (seconds(F.col("last_ts")) - seconds(F.col("first_ts"))).cast("double").alias("total"),
         (seconds(F.col("best_ts")) - seconds(F.col("first_ts"))).cast("double").alias("to_best"))
@@ -118,7 +120,7 @@ def runtime_stats(durations: DataFrame, by: list[str], value: str, tie: list[str
         F.count("*").alias("n"), F.avg(value).alias("mean"), F.stddev_pop(value).alias("std"),
         F.min(value).alias("min"), F.max(value).alias("max"))
     quartiles = group_quantiles(durations, by, value, tie, {"q1": 0.25, "median": 0.5, "q3": 0.75})
-    out = moments.join(quartiles, by).withColumn("stderr", F.col("std") / F.sqrt("n"))
+    out = null_safe_join(moments, quartiles, by).withColumn("stderr", F.col("std") / F.sqrt("n"))
     names = ["mean", "std", "stderr", "median", "q1", "q3", "min", "max"]
     return out.select(*by, "n", *names, *[clock(F.col(c)).alias(f"{c}_clock") for c in names])
 
@@ -163,7 +165,7 @@ def best_model_stats(summaries: DataFrame, by: list[str], tie: list[str], values
     out = summaries.groupBy(*by).agg(
         F.count("*").alias("models"), *[F.avg(v).alias(f"{v}_avg") for v in values])
     for v in values:
-        out = out.join(group_quantiles(summaries, by, v, tie, {f"{v}_median": 0.5}), by, "left")
+        out = null_safe_join(out, group_quantiles(summaries, by, v, tie, {f"{v}_median": 0.5}), by, "left")
     return out
 
 
@@ -172,8 +174,8 @@ def keyed_run_stats(runs: DataFrame, level: str, run: str, metrics: str) -> Data
     facts = runs.select(level, run, F.explode(metrics).alias("key", "value"))
     by = [level, "key"]
     medians = group_quantiles(facts, by, "value", [run], {"median": 0.5})
-    return facts.groupBy(*by).agg(F.avg("value").alias("mean"), F.stddev_pop("value").alias("std")
-                                  ).join(medians, by)
+    moments = facts.groupBy(*by).agg(F.avg("value").alias("mean"), F.stddev_pop("value").alias("std"))
+    return null_safe_join(moments, medians, by)
 
 
 def overall_averages(per_level: DataFrame) -> DataFrame:
@@ -186,7 +188,7 @@ def score_spread(scores: DataFrame, by: list[str], value: str, tie: list[str]) -
     stats = scores.groupBy(*by).agg(
         F.avg(value).alias("mean"), F.stddev_pop(value).alias("std"), F.min(value).alias("low"),
         F.max(value).alias("high"), F.count("*").alias("n"))
-    return stats.join(group_quantiles(scores, by, value, tie, {"median": 0.5}), by)
+    return null_safe_join(stats, group_quantiles(scores, by, value, tie, {"median": 0.5}), by)
 
 
 def five_numbers(facts: DataFrame, by: list[str], value: str, tie: list[str]) -> DataFrame:
@@ -256,14 +258,20 @@ def audit(manifest: DataFrame, observed: DataFrame) -> DataFrame:
         .when(F.col("needs_prompt") & ~F.col("has_prompt"), "missing prompt").alias("message"))
 
 
-def discover_runs(paths: DataFrame, path: str) -> DataFrame:
-    """Group, run number, type and caption style from directory names."""
+def discover_runs(paths: DataFrame, path: str, unnumbered: str | None = None) -> DataFrame:
+    """Group, run number, type and caption style from directory names.
+
+    Conditional runs end with their number. Names that contain ``unnumbered``
+    count as runs, too, as run 0 if they have no number.
+    """
     name = F.regexp_extract(path, r"([^/]+)/*$", 1)
     number = F.regexp_extract("name", r"(\d+)(?!.*\d)", 1)
-    kind = (F.when(F.col("name").contains("-conditional-"), "conditional")
+    kind = (F.when(F.col("name").rlike("-conditional-.*[0-9]$|-conditional-[0-9]$"), "conditional")
             .when(F.col("name").contains("fdm"), "fdm").when(F.col("name").rlike(r"unconditional\d+$"),
                                                              "unconditional")
             .when(F.col("name").rlike(r"wgan\d+$"), "wgan"))
+    if unnumbered is not None:
+        kind = kind.when(F.col("name").contains(unnumbered), "unnumbered")
     named = paths.select(name.alias("name")).withColumns({
         "kind": kind, "run": F.when(number == "", 0).otherwise(F.expr("try_cast(regexp_extract(name, "
                                                                       "'(\\\\d+)(?!.*\\\\d)', 1) AS int)"))})

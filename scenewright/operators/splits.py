@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from scenewright.operators.ranking import global_rank
@@ -55,28 +56,42 @@ def repair_coverage(df: DataFrame, key: str, caption: str, topics: list[str]
                     ) -> tuple[DataFrame, DataFrame]:
     """Move samples so that every split speaks of every topic.
 
-    One pass: for each missing topic the first sample (in key order) of another
-    split that still keeps one moves over. Returns the frame with a new
-    ``split`` and the topics that stay uncovered.
+    For each missing topic the first sample (in key order) moves over whose
+    split keeps at least one sample of everything that it speaks of. Counts are
+    updated for all its topics after every move. Per split and topic only the
+    first few carriers are candidates, as many as there can be moves. Returns the
+    frame with a new ``split`` and the topics that stay uncovered in the end.
     """
     splits = ["train", "val", "test"]
-    cover = df.groupBy("split").agg(*[f for i, t in enumerate(topics) for f in (
-        F.count_if(F.lower(caption).contains(t)).alias(f"n{i}"),
-        F.min(F.when(F.lower(caption).contains(t), F.col(key))).alias(f"k{i}"))])
-    table = {r["split"]: r for r in cover.collect()}  # three rows
-    moves, open_topics = {}, []
+    low = F.lower(F.col(caption))
+    marked = df.select("split", F.col(key).alias("_key"), F.filter(
+        F.array(*[F.when(low.contains(t), F.lit(i)) for i, t in enumerate(topics)]),
+        lambda i: i.isNotNull()).alias("_has"))
+    each = marked.select("split", "_key", "_has", F.explode("_has").alias("_topic"))
+    counted = each.groupBy("split", "_topic").count().collect()  # splits x topics
+    most = len(splits) * len(topics) + 1
+    rank = F.row_number().over(W.partitionBy("split", "_topic").orderBy("_key"))
+    first = each.withColumn("_rank", rank).where(F.col("_rank") <= most).collect()  # bounded by the rank
+    n = {(s, i): 0 for s in splits for i in range(len(topics))} | {(r["split"], r["_topic"]): r["count"] for r in counted}
+    carriers: dict = {}
+    for r in sorted(first, key=lambda r: r["_rank"]):
+        carriers.setdefault(r["_topic"], []).append((r["_key"], r["split"], r["_has"]))
+    moves: dict = {}
     for target in splits:
-        for i, topic in enumerate(topics):
-            if target in table and table[target][f"n{i}"]:
+        for i in range(len(topics)):
+            if n[target, i]:
                 continue
-            donor = next((s for s in splits if s != target and s in table
-                          and table[s][f"n{i}"] > 1 and table[s][f"k{i}"] not in moves), None)
-            if donor is None:
-                open_topics.append((target, topic))
-            else:
-                moves[table[donor][f"k{i}"]] = target
+            free = [(k, s, has) for k, s, has in carriers.get(i, []) if s != target and k not in moves
+                    and all(n[s, t] > 1 for t in has)]
+            if free:
+                k, source, has = min(free, key=lambda c: (splits.index(c[1]), c[0]))
+                moves[k] = target
+                for t in has:
+                    n[source, t] -= 1
+                    n[target, t] += 1
     out = F.col("split")
     for k, target in moves.items():
         out = F.when(F.col(key) == k, target).otherwise(out)
-    left = df.sparkSession.createDataFrame(open_topics, "split string, topic string")
+    left = df.sparkSession.createDataFrame(
+        [(s, topics[i]) for s in splits for i in range(len(topics)) if not n[s, i]], "split string, topic string")
     return df.withColumn("split", out), left

@@ -37,10 +37,10 @@ def _with_triples(df: DataFrame, solid: str, direction: int) -> DataFrame:
 
 
 def with_staircases(df: DataFrame, name: str, direction: int, solid: str = "solid_bits",
-                    width: int = 16) -> DataFrame:
+                    width: int | str = 16) -> DataFrame:
     """Add ``name``: chosen staircases ``(c, r, n)``, left to right.
 
-    Columns are scanned from the left; in each the highest triple start wins, is
+    ``width`` is a number or SQL for one. Columns are scanned from the left; in each the highest triple start wins, is
     extended while the next triple also holds, and its columns are skipped.
     """
     df = _with_triples(df, solid, direction)
@@ -60,7 +60,7 @@ def with_staircases(df: DataFrame, name: str, direction: int, solid: str = "soli
         f"rr -> named_struct('c', cc, 'r', rr, 'n', {chain}))"
     )
     fold = (
-        f"aggregate(sequence(0, {width} - 3), "
+        f"aggregate(sequence(0, greatest(0, {width} - 3)), "
         f"named_struct('next', 0, 'found', cast(array() AS {RUNS})), "
         f"(acc, cc) -> if(cc < acc.next OR getbit(_any, cc) = 0, acc, "
         f"transform(array({pick}), got -> if(size(got) = 0, acc, "

@@ -21,18 +21,18 @@ def build_vocab(df: DataFrame, text: str, min_freq: int = 1) -> DataFrame:
 
 
 def encode(df: DataFrame, vocab: DataFrame, key: str, text: str, strict: bool = True) -> DataFrame:
-    """``(key, ids)``; an unknown token is an error unless ``strict`` is off.
+    """``(key, ids)``; an unknown token is an error unless ``strict`` is off. No tokens, no ids.
 
     Tokens are joined one distinct token per document at a time, with their
     positions, so that frequent words do not multiply the join.
     """
-    exploded = df.select(key, F.posexplode(tokenize(F.col(text))).alias("_i", "_token"))
+    exploded = df.select(key, F.posexplode_outer(tokenize(F.col(text))).alias("_i", "_token"))
     places = exploded.groupBy(key, "_token").agg(F.collect_list("_i").alias("_at"))
     words = vocab.select(F.col("token").alias("_token"), F.col("id").alias("_id"))
     joined = lookup_join(places, words, ["_token"], "left")
     if strict:
-        joined = joined.withColumn("_id", F.coalesce("_id", F.raise_error(
-            F.concat(F.lit("unknown token: "), F.col("_token"))).cast("bigint")))
+        joined = joined.withColumn("_id", F.when(F.col("_token").isNotNull(), F.coalesce(
+            "_id", F.raise_error(F.concat(F.lit("unknown token: "), F.col("_token"))).cast("bigint"))))
     tagged = F.transform("_at", lambda i: F.struct(i.alias("i"), F.col("_id").alias("id")))
     per_doc = joined.groupBy(key).agg(F.flatten(F.collect_list(tagged)).alias("t"))
     return per_doc.select(key, F.transform(F.array_sort("t"), lambda x: x["id"]).alias("ids"))
@@ -40,10 +40,10 @@ def encode(df: DataFrame, vocab: DataFrame, key: str, text: str, strict: bool =
 
 def decode(df: DataFrame, vocab: DataFrame, key: str, ids: str) -> DataFrame:
     """``(key, decoded)``: tokens joined by blanks."""
-    exploded = df.select(key, F.posexplode(ids).alias("_i", "_id"))
+    exploded = df.select(key, F.posexplode_outer(ids).alias("_i", "_id"))
     places = exploded.groupBy(key, "_id").agg(F.collect_list("_i").alias("_at"))
     words = vocab.select(F.col("id").alias("_id"), F.col("token").alias("_token"))
-    joined = lookup_join(places, words, ["_id"])
+    joined = lookup_join(places, words, ["_id"], "left")
     tagged = F.transform("_at", lambda i: F.struct(i.alias("i"), F.col("_token").alias("token")))
     per_doc = joined.groupBy(key).agg(F.flatten(F.collect_list(tagged)).alias("t"))
     return per_doc.select(key, F.array_join(

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from urllib.parse import unquote
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,10 +14,25 @@ RUN_LOG = ("epoch INT, loss DOUBLE, lr DOUBLE, step BIGINT, timestamp STRING, va
            "_corrupt_record STRING")
 
 
+def _by_format(spark: SparkSession, path: str) -> tuple[list[str], list[str]]:
+    """(JSON-lines files, other JSON files): decided for every file by its own lines."""
+    lines = spark.read.text(path).select("_metadata.file_path", F.trim("value").alias("v")).where("v <> ''")
+    found = lines.groupBy("file_path").agg(
+        F.max(F.col("v").rlike(r"^\{.*\}$")).alias("whole"),
+        F.max(F.col("v").startswith("[") | (F.col("v") == "{")).alias("spread")).collect()  # a row per file
+    as_lines = [unquote(r["file_path"]) for r in found if r["whole"] and not r["spread"]]
+    return sorted(as_lines), sorted({unquote(r["file_path"]) for r in found} - set(as_lines))
+
+
 def read_samples(spark: SparkSession, path: str, directed: bool = False, drop_empty: bool = True
                  ) -> DataFrame:
-    """Samples from JSON arrays or JSON lines."""
-    df = spark.read.schema(DIRECTED if directed else SAMPLE).json(path, multiLine=True)
+    """Samples from JSON arrays or JSON lines, file by file."""
+    lines, arrays = _by_format(spark, path)
+    reader = spark.read.schema(DIRECTED if directed else SAMPLE)
+    df = reader.json(lines) if lines or not arrays else None
+    if arrays:
+        rest = spark.read.schema(DIRECTED if directed else SAMPLE).json(arrays, multiLine=True)
+        df = rest if df is None else df.unionByName(rest)
     scene = "sample" if directed else "scene"
     return df.where(F.size(scene) > 0) if drop_empty else df
 
@@ -50,14 +67,15 @@ def read_numbered(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_json_or_jsonl(spark: SparkSession, path: str) -> DataFrame:
-    """A JSON array or object if the file is one, else JSON lines."""
-    whole = spark.read.json(path, multiLine=True)
-    if "_corrupt_record" in whole.columns:
-        return spark.read.option("mode", "DROPMALFORMED").json(path)
-    first = spark.read.text(path, wholetext=True).select(F.trim("value").alias("v")).limit(1)
-    if first.where(F.col("v").rlike(r"^\{[^\n]*\}\s*\n\s*\{")).count():
-        return spark.read.option("mode", "DROPMALFORMED").json(path)
-    return whole
+    """Every file as what it is: a JSON array or object, or JSON lines (malformed lines are left out)."""
+    lines, arrays = _by_format(spark, path)
+    parts = [spark.read.option("mode", "DROPMALFORMED").json(lines)] if lines or not arrays else []
+    if arrays:
+        parts.append(spark.read.json(arrays, multiLine=True))
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part, allowMissingColumns=True)
+    return out
 
 
 def flatten_group_stats(df: DataFrame, group: str) -> DataFrame:
