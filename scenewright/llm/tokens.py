@@ -18,9 +18,11 @@ import pyarrow.compute as pc
 
 from scenewright.llm import arrays as A
 
-SLICE_BYTES = 8 << 20
-#: Pieces kept in memory; beyond it the memory starts anew.
+SLICE_BYTES = 3 << 20
+#: Pieces kept in memory, some 250 bytes each; beyond it the memory starts anew.
 MEMORY = 400_000
+#: Ids in memory are little-endian 32-bit numbers, one byte string a piece.
+ID = np.dtype("<i4")
 RUN = r"[\s\v\x1c-\x1f\x{85}\p{Z}] "
 WORD_AND_TAIL = re.compile(r"( ?[A-Za-zÀ-ÖØ-öø-ÿ]+)([.,!?;:|&#$%*()]*)")
 
@@ -40,45 +42,48 @@ class Encoder:
         self.edge = np.zeros(size, bool)  # last id of a word, or first id after a space
         for token, i in vocab.items():
             self.edge[i] = token.endswith("</w>") if self.word_ends else token.startswith("Ġ")
-        self.memory: dict[str, np.ndarray] = {}
+        self.memory: dict[str, bytes] = {}  # pieces
+        self.words: dict[str, bytes] = {}
+        self.tails: dict[str, bytes] = {}
 
     def _encode(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _words(self, words: list[str]) -> list[np.ndarray]:
+    def _bytes(self, texts: list[str]) -> list[bytes]:
+        return [np.array(ids, ID).tobytes() for ids in self._encode(texts)]
+
+    def _words(self, words: list[str]) -> list[bytes]:
         """Ids of plain words; a hundred at a time are one text, cut where words begin or end."""
         glue = " " if self.word_ends else ""
         out = []
         for ids in self._encode([glue.join(words[i : i + 100]) for i in range(0, len(words), 100)]):
-            ids = np.array(ids, np.int32)
+            ids = np.array(ids, ID)
             cut = np.flatnonzero(self.edge[ids])
-            out += np.split(ids, cut[:-1] + 1 if self.word_ends else cut[1:])
+            cut = cut[:-1] + 1 if self.word_ends else cut[1:]
+            raw, at = ids.tobytes(), [0, *(cut * ID.itemsize).tolist(), ids.nbytes]
+            out += [raw[a:b] for a, b in zip(at, at[1:])]
         return out
 
     def _learn(self, pieces: list[str]) -> None:
-        plain, other, split = {}, {}, []
+        plain, other, split, rest = {}, {}, [], []
         for piece in pieces:
             m = WORD_AND_TAIL.fullmatch(piece)
             if m and (self.word_ends or piece[0] == " "):
                 word, tail = m.groups()
                 word = word.strip().lower() if self.word_ends else word
                 split.append((piece, word, tail))
-                if ("w", word) not in self.memory:
+                if word not in self.words:
                     plain[word] = None
-                if tail and ("t", tail) not in self.memory:
+                if tail and tail not in self.tails:
                     other[tail] = None
-        words = list(plain)
-        for word, ids in zip(words, self._words(words)):
-            self.memory["w", word] = ids
-        tails = list(other)
-        for tail, ids in zip(tails, self._encode(tails)):
-            self.memory["t", tail] = np.array(ids, np.int32)
+            else:
+                rest.append(piece)
+        for names, ids, into in ((list(plain), self._words, self.words), (list(other), self._bytes, self.tails),
+                                 (rest, self._bytes, self.memory)):
+            into.update(zip(names, ids(names)))
         for piece, word, tail in split:
-            ids = self.memory["w", word]
-            self.memory[piece] = np.concatenate([ids, self.memory["t", tail]]) if tail else ids
-        rest = [p for p in pieces if p not in self.memory]
-        for piece, ids in zip(rest, self._encode(rest)):
-            self.memory[piece] = np.array(ids, np.int32)
+            ids = self.words[word]
+            self.memory[piece] = ids + self.tails[tail] if tail else ids
 
     def _slice(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         whole = np.asarray(pc.match_substring_regex(texts, RUN).to_numpy(zero_copy_only=False), bool)
@@ -97,14 +102,15 @@ class Encoder:
             code = code + n * first
             used, code = np.unique(code, return_inverse=True)
             names = [names[i] for i in used.tolist()]
-        if len(self.memory) > 3 * MEMORY:
-            self.memory.clear()
+        if len(self.memory) + len(self.words) > MEMORY:
+            for held in (self.memory, self.words, self.tails):
+                held.clear()
         new = [p for p in names if p not in self.memory]
         if new:
             self._learn(new)
         known = [self.memory[p] for p in names]
-        size = np.fromiter(map(len, known), np.int64, len(known))
-        flat = np.concatenate(known) if known else np.zeros(0, np.int32)
+        size = np.fromiter(map(len, known), np.int64, len(known)) // ID.itemsize
+        flat = np.frombuffer(b"".join(known), ID)
         lengths = size[code]
         ids = flat[A.ranges((np.cumsum(size) - size)[code], lengths)]
         total = np.zeros(len(code) + 1, np.int64)
