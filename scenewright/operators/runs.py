@@ -96,6 +96,19 @@ def last_step(log: DataFrame, run: list[str], line: str, step: str) -> DataFrame
     return log.groupBy(*run).agg(F.coalesce(F.max(known)[step], F.lit(0)).alias("step"))
 
 
+def attach_log(best: DataFrame, log: DataFrame, run: list[str], epoch: str, line: str, ts: str) -> DataFrame:
+    """Add ``best_ts``, the time of the first log line of each run's best epoch.
+
+    Only lines after a run's first one count; a run without such a line, or
+    without any log, stays with a null time.
+    """
+    firsts = log.groupBy(*run).agg(F.min(line).alias("_first"))
+    keyed = lookup_join(lookup_join(log, best.select(*run, "best_epoch"), run), firsts, run)
+    at_best = keyed.where((F.col(epoch) == F.col("best_epoch")) & (F.col(line) > F.col("_first"))
+                          ).groupBy(*run).agg(F.min_by(ts, line).alias("best_ts"))
+    return null_safe_join(best, at_best, run, "left")
+
+
 def run_durations(log: DataFrame, best: DataFrame, run: list[str], epoch: str, line: str, ts: str
                   ) -> DataFrame:
     """Total and time-to-best seconds per usable run.
@@ -104,11 +117,8 @@ def run_durations(log: DataFrame, best: DataFrame, run: list[str], epoch: str, l
     epoch that only the first line has yields no time to best.
     """
     ends = first_last(log, run, line, ts).where("usable")
-    firsts = log.groupBy(*run).agg(F.min(line).alias("_first"))
-    keyed = lookup_join(lookup_join(log, best.select(*run, "best_epoch"), run), firsts, run)
-    at_best = keyed.where((F.col(epoch) == F.col("best_epoch")) & (F.col(line) > F.col("_first"))
-                          ).groupBy(*run).agg(F.min_by(ts, line).alias("best_ts"))
-    joined = null_safe_join(ends, at_best, run, "left")
+    at_best = attach_log(best.select(*run, "best_epoch"), log, run, epoch, line, ts)
+    joined = null_safe_join(ends, at_best.select(*run, "best_ts"), run, "left")
     return joined.select(
         *run, (seconds(F.col("last_ts")) - seconds(F.col("first_ts"))).cast("double").alias("total"),
         (seconds(F.col("best_ts")) - seconds(F.col("first_ts"))).cast("double").alias("to_best"))
@@ -142,6 +152,34 @@ def half_width(std: Column, n: Column) -> Column:
     return F.when(n > 1, t_quantile(n - 1) * std / F.sqrt(n)).otherwise(0.0)
 
 
+def model_mode_matrix(runs: DataFrame, model: str, kind: str, mode: str, valid: dict[str, set[str]], percent: str,
+                      broken: str, items: str, total: str) -> DataFrame:
+    """Mean defect percentage, interval and background share per model and mode.
+
+    ``runs`` has one row per run; ``valid`` says which modes a kind of model has,
+    others are left out. The background is the share of scenes that have the item
+    at all. Inconsistent runs are counted, not dropped: ``incomplete`` (a number is
+    missing), ``off_percent`` (the percentage is not broken / total),
+    ``off_range`` (not broken <= items <= total), ``off_background`` (the share
+    is below the percentage).
+    """
+    c = {n: F.col(n) for n in (percent, broken, items, total)}
+    known = F.lit(False)
+    for k, modes in sorted(valid.items()):
+        known = known | ((F.col(kind) == k) & F.col(mode).isin(sorted(modes)))
+    share = lambda part: F.when(c[total] != 0, 100.0 * part / c[total]).otherwise(
+        F.when(c[total] == 0, 0.0))
+    missing = c[percent].isNull() | c[broken].isNull() | c[items].isNull() | c[total].isNull()
+    out = runs.where(known).groupBy(model, mode).agg(
+        F.count(percent).alias("n"), F.avg(percent).alias("mean"),
+        F.coalesce(F.stddev_samp(percent), F.lit(0.0)).alias("std"), F.avg(share(c[items])).alias("background"),
+        F.count_if(missing).alias("incomplete"),
+        F.count_if(F.abs(c[percent] - share(c[broken])) > 1e-3).alias("off_percent"),
+        F.count_if((c[broken] > c[items]) | (c[items] > c[total])).alias("off_range"),
+        F.count_if(share(c[items]) < c[percent]).alias("off_background"))
+    return out.withColumn("half_width", half_width(F.col("std"), F.col("n")))
+
+
 def curve_aggregate(scores: DataFrame, group: list[str], run: str, epoch: str, score: str,
                     require_all: bool = True) -> DataFrame:
     """Mean, sample deviation, count and interval per epoch across runs.

@@ -104,6 +104,23 @@ def matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(out, "mean", "std").withColumn("half_width", F.round("half_width", 4))
 
 
+MODES = {"conditional": {"random", "real", "short"}, "fdm": {"random", "real"}}
+
+
+def defect_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Broken pipes per model (source) and mode; whole percentages, so the first check finds something."""
+    low = F.lower("generated")
+    said = X.pairs(spark, sf_dir, "source").select(
+        "source", F.when(F.length("source") % 2 == 0, "conditional").otherwise("fdm").alias("kind"),
+        F.get(F.array(*map(F.lit, ("random", "real", "short"))), (F.col("sample_id") % 3).cast("int")).alias("mode"),
+        (F.col("sample_id") % 5).alias("run"), low.contains("pipe").alias("item"), low.contains("broken pipe").alias("bad"))
+    runs = said.groupBy("source", "kind", "mode", "run").agg(
+        F.count("*").alias("total"), F.count_if("item").alias("items"), F.count_if("bad").alias("broken"))
+    runs = runs.withColumn("percent", F.floor(100.0 * F.col("broken") / F.col("total")).cast("double"))
+    out = R.model_mode_matrix(runs, "source", "kind", "mode", MODES, "percent", "broken", "items", "total")
+    return rounded(out, "mean", "std", "background").withColumn("half_width", F.round("half_width", 4))
+
+
 def keyed(spark: SparkSession, sf_dir: str) -> DataFrame:
     runs = X.table(spark, sf_dir, "events").select(
         F.col("user_id").alias("level"), "event_id",
@@ -192,7 +209,9 @@ def newer(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def attached(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _durations(spark, sf_dir)
+    log = X.run_log(spark, sf_dir)
+    out = R.attach_log(R.best_epochs(log, RUN, "epoch", "loss"), log, RUN, "epoch", "epoch", "ts")
+    return out.select(*RUN, "best_epoch", R.seconds(F.col("best_ts")).alias("best_sec"))
 
 
 def audited(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -298,7 +317,8 @@ WITH o AS (SELECT o_custkey AS c_custkey, min(o_orderpriority) AS s, max(o_total
 n AS (SELECT c_custkey, c_mktsegment AS s, c_acctbal AS b FROM customer WHERE c_acctbal > 0)
 SELECT c_custkey, CASE WHEN n.s IS NOT NULL THEN n.s ELSE o.s END AS c_mktsegment, CASE WHEN n.s IS NOT NULL THEN n.b ELSE o.b END AS c_acctbal
 FROM n FULL JOIN o USING (c_custkey)"""),
-    "f11_attach_log_to_summary": (attached, DUR + " SELECT grp, run, total, to_best FROM dur"),
+    "f11_attach_log_to_summary": (attached, DUR + """
+SELECT best.grp, best.run, best_epoch, b AS best_sec FROM best LEFT JOIN hit USING (grp, run)"""),
     "f12_audit_manifest": (audited, """
 WITH m AS (SELECT n_nationkey AS run, a AS artefact FROM nation, (SELECT DISTINCT c_mktsegment AS a FROM customer)),
 o AS (SELECT c_nationkey AS run, c_mktsegment AS artefact, count(*) AS found, min(c_acctbal) > -900 AS hp FROM customer GROUP BY 1, 2)
@@ -315,7 +335,7 @@ SELECT grp, count(*) AS n, round(avg(total), 6) AS mean, round(stddev_pop(total)
   round(stddev_pop(total) / sqrt(count(*)), 6) AS stderr, round(median(total), 6) AS median,
   round(quantile_cont(total, 0.25), 6) AS q1, round(quantile_cont(total, 0.75), 6) AS q3, min(total) AS "min", max(total) AS "max",
   {CLOCK('median(total)')} AS median_clock, {CLOCK('max(total)')} AS max_clock FROM dur GROUP BY grp"""),
-    "g10_time_to_best": (attached, DUR + " SELECT grp, run, total, to_best FROM dur"),
+    "g10_time_to_best": (_durations, DUR + " SELECT grp, run, total, to_best FROM dur"),
     "g11_best_model_stats": (model_stats, IMPROVED + """
 SELECT grp, count(*) AS models, round(avg(best_epoch), 6) AS best_epoch_avg, round(avg(best_loss), 6) AS best_loss_avg,
   round(median(best_epoch), 6) AS best_epoch_median, round(median(best_loss), 6) AS best_loss_median FROM best GROUP BY grp"""),
@@ -329,9 +349,19 @@ SELECT grp, epoch, round(mean, 6) AS mean, round(std, 6) AS std, n, {HALF} AS ha
     "g13_t_confidence_interval": (matrix, f"""
 WITH p AS (SELECT lang, source, count(*) AS n, avg(n_chars) AS mean, coalesce(stddev_samp(n_chars), 0) AS std FROM documents GROUP BY ALL)
 SELECT lang, source, n, round(mean, 6) AS mean, round(std, 6) AS std, {HALF} AS half_width FROM p"""),
-    "g14_model_mode_matrix": (matrix, f"""
-WITH p AS (SELECT lang, source, count(*) AS n, avg(n_chars) AS mean, coalesce(stddev_samp(n_chars), 0) AS std FROM documents GROUP BY ALL)
-SELECT lang, source, n, round(mean, 6) AS mean, round(std, 6) AS std, {HALF} AS half_width FROM p"""),
+    "g14_model_mode_matrix": (defect_matrix, PAIRS + f""",
+said AS (SELECT source, length(source) % 2 = 0 AS conditional, (['random', 'real', 'short'])[sample_id % 3 + 1] AS mode,
+  sample_id % 5 AS run, lower(generated) AS g FROM fx_pairs JOIN documents ON doc_id = sample_id),
+r AS (SELECT source, mode, run, count(*) AS total, count(*) FILTER (contains(g, 'pipe')) AS items,
+  count(*) FILTER (contains(g, 'broken pipe')) AS broken FROM said WHERE conditional OR mode <> 'short' GROUP BY ALL),
+v AS (SELECT *, floor(100.0::DOUBLE * broken / total) AS percent, 100.0::DOUBLE * items / total AS share FROM r),
+p AS (SELECT source, mode, count(percent) AS n, avg(percent) AS mean, coalesce(stddev_samp(percent), 0) AS std,
+  avg(share) AS background, 0 AS incomplete,
+  count(*) FILTER (abs(percent - 100.0::DOUBLE * broken / total) > 1e-3) AS off_percent,
+  count(*) FILTER (broken > items OR items > total) AS off_range, count(*) FILTER (share < percent) AS off_background
+  FROM v GROUP BY ALL)
+SELECT source, mode, n, round(mean, 6) AS mean, round(std, 6) AS std, round(background, 6) AS background, incomplete,
+  off_percent, off_range, off_background, {HALF} AS half_width FROM p"""),
     "g16_distribution": (five, """
 SELECT o_orderpriority, min(o_totalprice) AS low, round(quantile_cont(o_totalprice, 0.25), 6) AS q1, round(median(o_totalprice), 6) AS median,
   round(quantile_cont(o_totalprice, 0.75), 6) AS q3, max(o_totalprice) AS high FROM orders GROUP BY 1"""),
