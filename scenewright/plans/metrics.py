@@ -112,11 +112,12 @@ def breakdown(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def document(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = M.evaluation_document(X.pairs(spark, sf_dir), "prompt", "generated", TARGETS)
+    out = M.evaluation_document(X.pairs(spark, sf_dir), "prompt", "generated", list(P.topics))
     return out.select(
         "match.n", "match.perfect", F.col("broken_pipe.broken").alias("broken_pipes"),
         F.col("broken_cannon.broken").alias("broken_cannons"),
         F.col("phrase_targeting")["tower"]["tp"].alias("tower_tp"),
+        F.col("phrase_targeting")["broken pipe"]["fp"].alias("broken_pipe_fp"),
         F.size("phrase_targeting").alias("keywords"))
 
 
@@ -207,7 +208,8 @@ SELECT (SELECT count(*) FROM scored) AS n, (SELECT count(*) FROM scored WHERE sc
   (SELECT count(*) FROM fx_pairs WHERE contains({STRIPPED('pipe')}, 'broken pipe')) AS broken_pipes,
   (SELECT count(*) FROM fx_pairs WHERE contains({STRIPPED('cannon')}, 'broken cannon')) AS broken_cannons,
   (SELECT count(*) FROM fx_pairs WHERE contains(prompt, 'tower') AND contains(generated, 'tower')) AS tower_tp,
-  {len(TARGETS)} AS keywords"""),
+  (SELECT count(*) FROM fx_pairs WHERE NOT contains(lower(prompt), 'broken pipe') AND contains(lower(generated), 'broken pipe')) AS broken_pipe_fp,
+  {len(P.topics)} AS keywords"""),
     "g06_adherence_mean": (adherence, COMPARE + """
 SELECT source, count(*) AS n, round(avg(score), 6) AS score FROM scored JOIN documents ON doc_id = sample_id GROUP BY source"""),
 }
