@@ -99,6 +99,24 @@ reach(doc_id, node) AS (SELECT x, y FROM e UNION SELECT r.doc_id, e.y FROM reach
 root AS (SELECT doc_id, min(node) AS m FROM reach GROUP BY 1)
 SELECT doc_id, coalesce(n, 0) AS n_shingles, least(doc_id, coalesce(m, doc_id)) AS component_id,
   doc_id <= coalesce(m, doc_id) AS kept FROM w LEFT JOIN n USING (doc_id) LEFT JOIN root USING (doc_id)""",
+    "op3_suffix_array_dedup": r"""
+WITH d AS MATERIALIZED (SELECT doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents),
+-- pieces of 1,000 window starts with the 199 bytes after them
+piece AS (SELECT doc_id, b, substr(x, 2 * b + 1, 2398) AS y FROM (
+  SELECT doc_id, x, unnest(range(0, len(x) // 2, 1000)) AS b FROM d WHERE len(x) >= 400)),
+win AS MATERIALIZED (SELECT doc_id, b + o AS i, md5(substr(y, 2 * o + 1, 400)) AS k FROM (
+  SELECT doc_id, b, y, unnest(range(0, least(len(y) // 2 - 199, 1000))) AS o FROM piece WHERE len(y) >= 400)),
+often AS MATERIALIZED (SELECT k FROM win GROUP BY k HAVING count(*) > 1),
+hit AS (SELECT doc_id, i FROM win SEMI JOIN often USING (k)),
+fresh AS (SELECT *, CASE WHEN i - lag(i) OVER w <= 200 THEN 0 ELSE 1 END AS f FROM hit WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
+run AS (SELECT *, sum(f) OVER (PARTITION BY doc_id ORDER BY i) AS r FROM fresh),
+span AS MATERIALIZED (SELECT doc_id, r, min(i) AS a, max(i) + 200 AS z FROM run GROUP BY ALL),
+stop AS (SELECT doc_id, a, lag(z, 1, 0) OVER (PARTITION BY doc_id ORDER BY a) AS s FROM span
+  UNION ALL SELECT d.doc_id, any_value(len(x)) // 2, coalesce(max(z), 0) FROM d LEFT JOIN span USING (doc_id) GROUP BY d.doc_id),
+kept AS (SELECT doc_id, string_agg(substr(x, 2 * s + 1, 2 * (a - s)), '' ORDER BY s) AS y FROM stop JOIN d USING (doc_id) GROUP BY doc_id),
+n AS (SELECT doc_id, count(*) AS n_spans, sum(z - a)::BIGINT AS n_removed FROM span GROUP BY doc_id)
+SELECT doc_id, len(x) // 2 AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+  sha256(unhex(y)) AS kept_sha256 FROM d JOIN kept USING (doc_id) LEFT JOIN n USING (doc_id)""",
     "op4_winnowing_decontamination": r"""
 WITH low AS (SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t
   FROM documents),
@@ -118,6 +136,31 @@ t AS (SELECT doc_id, count(*) AS n_items, string_agg(s, ',' ORDER BY s) AS s
 SELECT d.doc_id, len(ws) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
   sha256(coalesce(s, '')) AS items_sha256, n_hit IS NOT NULL AS contaminated
 FROM d LEFT JOIN c USING (doc_id) LEFT JOIN t USING (doc_id)""",
+    "op8_line_cleaning": rf"""
+WITH w AS MATERIALIZED (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(t, '{lines.SOLID}+') AS ws,
+  list_filter(string_split(t, chr(10)), lambda l: regexp_matches(l, '{lines.SOLID}')) AS ls FROM documents),
+win AS (SELECT doc_id, i, array_to_string(ws[i:i + {lines.WINDOW - 1}], ' ') AS k FROM (
+  SELECT doc_id, ws, unnest(range(1, len(ws) - {lines.WINDOW - 2})) AS i FROM w WHERE len(ws) >= {lines.WINDOW})),
+often AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, k) AS n FROM win),
+rep AS (SELECT doc_id, count(DISTINCT p) AS n FROM (
+  SELECT doc_id, unnest(range(i, i + {lines.WINDOW})) AS p FROM often WHERE n > 1) GROUP BY 1),
+line AS (SELECT DISTINCT doc_id, unnest(ls) AS l FROM w),
+parts AS (SELECT *, greatest(len(regexp_split_to_array(trim(l), '{lines.GAP}+')), 1) AS n,
+  regexp_extract_all(l, '{lines.SOLID}+') AS lw FROM line),
+judged AS (SELECT doc_id, length(regexp_replace(l, '{lines.GAP}', '', 'g')) AS size,
+  len(regexp_extract_all(l, '{lines.SEPARATOR}')) >= 2 OR 5 * len(regexp_extract_all(l, '{lines.SYMBOLS}')) >= n
+  OR 3 * len(regexp_extract_all(l, '{lines.SHOUT}')) >= n
+  OR (length(l) >= 20 AND 2 * len(regexp_extract_all(l, '\p{{Lu}}')) > len(regexp_extract_all(l, '\p{{L}}')))
+  OR regexp_matches(l, '{lines.BOILERPLATE}')
+  OR 3 * len(list_filter(range(2, len(lw) + 1), lambda i: lw[i] = lw[i - 1])) >= len(lw) AS bad FROM parts),
+good AS (SELECT doc_id, sum(size) AS size FROM judged WHERE NOT bad GROUP BY 1),
+b AS (SELECT doc_id, len(ws) AS n_words, length(array_to_string(ws, '')) AS word_chars,
+  len(regexp_extract_all(t, '{lines.SYMBOLS}')) AS n_symbols, len(ls) - len(list_distinct(ls)) AS n_dup_lines,
+  coalesce(rep.n, 0) AS n_repeat_words, coalesce(good.size, 0) AS solid
+  FROM w LEFT JOIN rep USING (doc_id) LEFT JOIN good USING (doc_id)),
+f AS (SELECT *, n_words < {lines.MIN_WORDS} OR 100 * n_repeat_words > {lines.MAX_REPEAT_PERCENT} * n_words AS base_failed FROM b)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+  NOT base_failed AND solid >= {1 - lines.MAX_LOST} * word_chars AS kept FROM f""",
 }
 
 
