@@ -8,6 +8,10 @@ from pyspark.sql import functions as F
 from scenewright.functions.binding import let
 from scenewright.functions.captions import join_phrases
 from scenewright.games import Game
+from scenewright.operators.similarity import known_keys, unknown
+from scenewright.session import cut_lineage
+
+MOST_DRAWS = 100_000_000  # an error beyond: the known captions then cover what can be drawn
 
 # A topic that is only ever mentioned together with another one.
 IMPLIED = {"coin line": "coin", "gold line": "gold"}
@@ -72,6 +76,26 @@ def generate_captions(draws: DataFrame, key: str, game: Game, seed: int, absence
     return draws.select(key, caption.alias("caption"))
 
 
+def draw_until(known: DataFrame, n: int, game: Game, seed: int, caption: str = "caption", **options) -> DataFrame:
+    """The first ``n`` draws ``(draw, caption)`` that match no known caption perfectly.
+
+    Draws are numbered from 0. Rounds double until enough are new, so the result
+    does not depend on the size of a round; the known keys are derived once.
+    """
+    spark = known.sparkSession
+    keys = cut_lineage(known_keys(known, game, caption))
+    size = 2 * n
+    while True:
+        draws = spark.range(size).withColumnRenamed("id", "draw")
+        new = cut_lineage(unknown(generate_captions(draws, "draw", game, seed, **options), keys, game)
+                          .orderBy("draw").limit(n))
+        if new.count() == n:
+            return new
+        if size >= MOST_DRAWS:
+            raise ValueError(f"fewer than {n} of {size} draws are new")
+        size *= 4
+
+
 def check_sql(game: Game, seed: int) -> str:
     """DuckDB SQL for one draw per document, without absence phrases."""
     values = ", ".join(f"('{t}', {i}, '{p}', {len(ps)})"

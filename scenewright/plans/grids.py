@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,10 +14,12 @@ from scenewright.functions import scenes as S
 from scenewright.games import DIRECTIONAL, PLATFORMER
 from scenewright.operators import captioner as C
 from scenewright.operators import features as D
+from scenewright.operators import metrics as M
 from scenewright.operators import patches as PT
 from scenewright.operators import windows as WI
-from scenewright.plans.captions import PAIRS
+from scenewright.plans.captions import PAIRS, compare_sql
 from scenewright.plans.platformer_sql import BASE
+from scenewright.plans.platformer_sql import captions as platformer_captions
 from scenewright.sources import levels as LV
 from scenewright.sources import sinks
 
@@ -240,12 +244,14 @@ def prompt_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def segment_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each document is one wide scene; its segments are scored against the first segment's caption."""
-    captions = C.platformer_caption(X.scenes(spark, sf_dir).select("scene_id", "doc_id", "rows"))
+    """Each document is one wide scene; its segments are scored against the document's prompt."""
+    wide = WI.concat_scenes(X.scenes(spark, sf_dir).select("doc_id", "scene_id", "rows"), "doc_id", "scene_id")
     prompts = X.pairs(spark, sf_dir).select(F.col("sample_id").alias("doc_id"), "prompt")
-    scored = captions.join(prompts, "doc_id").withColumn(
-        "s", E.caption_score(F.col("prompt"), F.col("caption")))
-    return scored.groupBy("doc_id").agg(F.count("*").alias("segments"), F.round(F.avg("s"), 6).alias("score"))
+    out = M.score_segments(wide.join(prompts, "doc_id"), "doc_id", "prompt", C.platformer_caption)
+    whole = F.transform("scores", lambda s: F.round(s * 1000000).cast("bigint").cast("string"))
+    return out.select("doc_id", F.round("score", 6).alias("score"), F.size("captions").cast("bigint").alias("segments"),
+                      F.md5(F.array_join("captions", "/").cast("binary")).alias("captions"),
+                      F.array_join(whole, " ").alias("scores"))
 
 
 ID = "instr('" + PLATFORMER.alphabet + "', ch) - 1"
@@ -338,7 +344,15 @@ rw AS (SELECT scene_id, r, string_agg(CAST(v AS VARCHAR), ',' ORDER BY c) AS lin
 SELECT scene_id, string_agg(line, ';' ORDER BY r) AS scene FROM rw GROUP BY scene_id"""),
     "c09_flip_scene": (_ids(WI.flip_scene), ids_sql(
         f"CASE {ID} WHEN 1 THEN 2 WHEN 2 THEN 1 WHEN 9 THEN 10 WHEN 10 THEN 9 ELSE {ID} END", "c DESC")),
-    "e06_score_segments": (segment_scores, None),
+    "e06_score_segments": (segment_scores, "WITH RECURSIVE caps AS MATERIALIZED (" + platformer_captions()
+        + " SELECT scene_id, caption FROM captions)," + re.sub(r"\bfx_text\b", "fx_all", X.PAIRS_SQL) + f""",
+fx_text AS (SELECT scene_id AS id, 'g' AS side, caption FROM caps UNION ALL
+  SELECT scene_id, 'p', p.caption FROM caps JOIN fx_all p ON p.side = 'p' AND p.id = scene_id // {X.SCENES_PER_DOCUMENT})"""
+        + compare_sql(PLATFORMER.quantity_terms, list(PLATFORMER.topics)) + f"""
+SELECT scene_id // {X.SCENES_PER_DOCUMENT} AS doc_id, round(avg(score), 6) AS score, count(*) AS segments,
+  md5(string_agg(caption, '/' ORDER BY scene_id)) AS captions,
+  string_agg(CAST(CAST(round(score * 1000000) AS BIGINT) AS VARCHAR), ' ' ORDER BY scene_id) AS scores
+FROM scored JOIN caps ON scene_id = sample_id GROUP BY 1"""),
     "f10_prompt_grid": (prompt_grid, """
 SELECT a || ' pipes, ' || b || ' enemies, ' || c || ' blocks, ' || d || ' elevation' AS prompt, count(*) AS n
 FROM documents, (SELECT unnest(['no','little','some','many']) AS a), (SELECT unnest(['no','little','some','many']) AS b),

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,7 +14,7 @@ from scenewright.operators import captioner as C
 from scenewright.operators import generation
 from scenewright.operators import metrics as M
 from scenewright.operators import similarity as S
-from scenewright.plans.captions import COMPARE, PAIRS
+from scenewright.plans.captions import COMPARE, PAIRS, compare_sql
 from scenewright.plans.platformer_sql import captions as platformer_captions
 
 TARGETS = [t for t in P.topics if "broken" not in t]
@@ -77,10 +79,8 @@ def novel(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def random_test_captions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    draws = X.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("draw"))
-    made = generation.generate_captions(draws, "draw", P, seed=512)
     known = X.pairs(spark, sf_dir).select(F.col("prompt").alias("caption"))
-    return S.novel_captions(made, known, P).orderBy("draw").limit(100)
+    return generation.draw_until(known, 100, P, seed=512)
 
 
 def defects(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -112,9 +112,17 @@ def breakdown(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def document(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = M.evaluation_document(X.pairs(spark, sf_dir), "prompt", "generated", list(P.topics))
+    out = M.evaluation_document(X.pairs(spark, sf_dir), "prompt", "generated", list(P.topics), P,
+                                _documents(spark, sf_dir), _known(spark, sf_dir))
     return out.select(
-        "match.n", "match.perfect", F.col("broken_pipe.broken").alias("broken_pipes"),
+        "match.n", "match.perfect", F.round("match.perfect_percent", 6).alias("perfect_percent"),
+        F.round("self_distance.mean_distance", 6).alias("self_distance"),
+        F.round("real_distance.mean_distance", 6).alias("real_distance"),
+        F.col("real_distance.perfect").alias("real_perfect"),
+        F.round("real_distance.perfect_percent", 6).alias("real_perfect_percent"),
+        F.col("broken_pipe.broken").alias("broken_pipes"), F.col("broken_pipe.mentions").alias("pipes"),
+        F.round("broken_pipe.of_mentions", 6).alias("broken_of_pipes"),
+        F.round(F.col("phrase_targeting")["tower"]["f1"], 6).alias("tower_f1"),
         F.col("broken_cannon.broken").alias("broken_cannons"),
         F.col("phrase_targeting")["tower"]["tp"].alias("tower_tp"),
         F.col("phrase_targeting")["broken pipe"]["fp"].alias("broken_pipe_fp"),
@@ -169,7 +177,15 @@ keyed AS (SELECT id, side, string_agg(coalesce(CAST(qi AS VARCHAR), normal, ''),
   FROM quantified GROUP BY id, side)
 SELECT f.sample_id, f.generated AS caption FROM fx_pairs f JOIN keyed g ON g.id = f.sample_id AND g.side = 'g'
 WHERE NOT EXISTS (SELECT 1 FROM keyed p WHERE p.side = 'p' AND p.k = g.k)"""),
-    "f02_random_test_captions": (random_test_captions, None),
+    "f02_random_test_captions": (random_test_captions, "WITH RECURSIVE drawn AS (" + generation.check_sql(P, 512).replace(
+        "FROM documents", "FROM (SELECT unnest(range(1000)) AS doc_id)") + ")," + re.sub(
+        r"\bfx_text\b", "fx_all", X.PAIRS_SQL) + """,
+fx_text AS (SELECT id, side, caption FROM fx_all WHERE side = 'p' UNION ALL SELECT draw, 'g', caption FROM drawn)"""
+        + compare_sql(P.quantity_terms, list(P.topics)) + """,
+keyed AS (SELECT id, side, string_agg(coalesce(CAST(qi AS VARCHAR), normal, ''), '|' ORDER BY t) AS k
+  FROM quantified GROUP BY id, side)
+SELECT draw, caption FROM drawn JOIN keyed g ON g.id = draw AND g.side = 'g'
+WHERE NOT EXISTS (SELECT 1 FROM keyed p WHERE p.side = 'p' AND p.k = g.k) ORDER BY draw LIMIT 100"""),
     "f03_min_edit_distance_self": (nearest_self, NEAREST + """
 SELECT scene_id, distance FROM fx_grid JOIN near USING (grid)"""),
     "f03_mean_edit_distance": (mean_nearest, NEAREST + """
@@ -205,7 +221,17 @@ SELECT count(*) AS n, count(*) FILTER (kind = 'perfect') AS perfect, round(100.0
   count(*) FILTER (kind = 'none') AS "none", round(100.0 * count(*) FILTER (kind = 'none') / count(*), 6) AS none_percent FROM k"""),
     "g05_evaluation_document": (document, COMPARE + f"""
 SELECT (SELECT count(*) FROM scored) AS n, (SELECT count(*) FROM scored WHERE score = 1 AND excess = 0) AS perfect,
+  round(100.0 * (SELECT count(*) FROM scored WHERE score = 1 AND excess = 0) / (SELECT count(*) FROM scored), 6) AS perfect_percent,
+  (SELECT round(avg(distance), 6) FROM ({NEAREST} SELECT distance FROM fx_grid JOIN near USING (grid))) AS self_distance,
+  (SELECT round(avg(distance), 6) FROM ({KNOWN} SELECT distance FROM near)) AS real_distance,
+  (SELECT count(*) FROM ({KNOWN} SELECT distance FROM near) WHERE distance = 0) AS real_perfect,
+  (SELECT round(100.0 * count(*) FILTER (distance = 0) / count(*), 6) FROM ({KNOWN} SELECT distance FROM near)) AS real_perfect_percent,
   (SELECT count(*) FROM fx_pairs WHERE contains({STRIPPED('pipe')}, 'broken pipe')) AS broken_pipes,
+  (SELECT count(*) FROM fx_pairs WHERE contains({STRIPPED('pipe')}, 'pipe')) AS pipes,
+  (SELECT round(coalesce(100.0 * count(*) FILTER (contains({STRIPPED('pipe')}, 'broken pipe'))
+    / nullif(count(*) FILTER (contains({STRIPPED('pipe')}, 'pipe')), 0), 0), 6) FROM fx_pairs) AS broken_of_pipes,
+  (SELECT round(coalesce(2.0 * count(*) FILTER (p AND g) / nullif(2 * count(*) FILTER (p AND g) + count(*) FILTER (p <> g), 0), 0), 6)
+    FROM (SELECT contains(prompt, 'tower') AS p, contains(generated, 'tower') AS g FROM fx_pairs)) AS tower_f1,
   (SELECT count(*) FROM fx_pairs WHERE contains({STRIPPED('cannon')}, 'broken cannon')) AS broken_cannons,
   (SELECT count(*) FROM fx_pairs WHERE contains(prompt, 'tower') AND contains(generated, 'tower')) AS tower_tp,
   (SELECT count(*) FROM fx_pairs WHERE NOT contains(lower(prompt), 'broken pipe') AND contains(lower(generated), 'broken pipe')) AS broken_pipe_fp,
