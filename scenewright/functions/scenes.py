@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from scenewright.functions.binding import let
 from scenewright.games import Game
 
 
@@ -24,6 +25,36 @@ def decode_tiles(scores: Column) -> Column:
         row, lambda v: (F.array_position(v, F.array_max(v)) - 1).cast("int")))
 
 
+def _table(vectors: list[list[float]]) -> Column:
+    return F.array(*[F.array(*[F.lit(float(x)) for x in v]) for v in vectors])
+
+
+def embed_tiles(scene: Column, vectors: list[list[float]]) -> Column:
+    """The vector of every tile id; an id outside the table becomes null."""
+    return let(_table(vectors), lambda t: F.transform(scene, lambda row: F.transform(row, lambda i: F.get(t, i))))
+
+
+def nearest_tile(vector: Column, vectors: list[list[float]], digits: int = 9) -> Column:
+    """Id of the tile whose vector has the largest cosine; the first one on ties.
+
+    A vector without length is as far from all tiles: it becomes tile 0.
+    """
+    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
+
+    def choose(v: Column) -> Column:
+        length = F.sqrt(dot(v, v))
+        unit = [[x / (sum(y * y for y in t) ** 0.5 or 1.0) for x in t] for t in vectors]
+        cosines = F.transform(_table(unit), lambda t: F.round(F.coalesce(dot(t, v) / F.nullif(length, F.lit(0.0)), F.lit(0.0)), digits))
+        return let(cosines, lambda c: (F.array_position(c, F.array_max(c)) - 1).cast("int"))
+
+    return let(F.transform(vector, lambda x: x.cast("double")), choose)
+
+
+def decode_nearest(scene: Column, vectors: list[list[float]]) -> Column:
+    """A scene of vectors as tile ids."""
+    return F.transform(scene, lambda row: F.transform(row, lambda v: nearest_tile(v, vectors)))
+
+
 def softmax(values: Column) -> Column:
     top = F.array_max(values)
     powers = F.transform(values, lambda v: F.exp(v - top))

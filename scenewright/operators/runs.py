@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from scenewright.functions.quantity import clock
 from scenewright.games import T_975
 from scenewright.operators.joins import lookup_join, null_safe_join
-from scenewright.operators.ranking import group_quantiles
+from scenewright.operators.ranking import global_rank, group_quantiles
 
 CHUNK = 1024  # epochs per piece of a running scan
 
@@ -77,10 +77,49 @@ def early_stop_epochs(log: DataFrame, run: list[str], epoch: str, loss: str, pat
     return known.groupBy(*run).agg(F.min(F.when(stops, F.col(epoch))).alias("stop_epoch"))
 
 
-def latest_checkpoint(paths: DataFrame, run: list[str], path: str) -> DataFrame:
+def checkpoints(paths: DataFrame, run: list[str], path: str, final: str | None = None) -> DataFrame:
+    """``(run, path, epoch)`` of every checkpoint folder.
+
+    A folder called ``final`` marks its parent as the finished model, one epoch
+    after the run's last checkpoint; without any checkpoint its epoch is 0.
+    """
     number = F.regexp_extract(path, r"checkpoint-(\d+)", 1)
-    found = paths.where(number != "").withColumn("_n", number.cast("bigint"))
-    return found.groupBy(*run).agg(F.max_by(path, "_n").alias("path"), F.max("_n").alias("epoch"))
+    found = paths.where(number != "").select(*run, F.col(path).alias("path"), number.try_cast("bigint").alias("epoch"))
+    if final is None:
+        return found
+    last = found.groupBy(*run).agg(F.max("epoch").alias("_last"))
+    done = paths.where(F.regexp_extract(path, r"([^/]+)/*$", 1) == final).select(
+        *run, F.regexp_replace(path, r"/[^/]+/*$", "").alias("path")).distinct()
+    models = null_safe_join(done, last, run, "left").select(*run, "path", (F.coalesce("_last", F.lit(-1)) + 1).alias("epoch"))
+    return found.unionByName(models)
+
+
+def latest_checkpoint(paths: DataFrame, run: list[str], path: str, final: str | None = None) -> DataFrame:
+    return checkpoints(paths, run, path, final).groupBy(*run).agg(
+        F.max_by("path", F.struct("epoch", "path")).alias("path"), F.max("epoch").alias("epoch"))
+
+
+def unusable_logs(expected: DataFrame, log: DataFrame, run: list[str], loss: str) -> DataFrame:
+    """``(run, reason)`` of the expected runs whose log is missing, too short or without a loss."""
+    seen = log.groupBy(*run).agg(F.count("*").alias("_lines"), F.count(loss).alias("_losses"))
+    reason = (F.when(F.col("_lines").isNull(), "no log").when(F.col("_lines") < 2, "fewer than two lines")
+              .when(F.col("_losses") == 0, "no loss"))
+    return null_safe_join(expected.select(*run).distinct(), seen, run, "left").select(
+        *run, reason.alias("reason")).where("reason IS NOT NULL")
+
+
+def zip_prompts(source: DataFrame, target: DataFrame, source_order: list[str], target_order: list[str],
+                caption: str, into: str = "prompt") -> DataFrame:
+    """Give each target row the caption of the source row at the same position.
+
+    Both sides must have as many rows; the orders must identify rows.
+    """
+    n, m = source.count(), target.count()
+    if n != m:
+        raise ValueError(f"{n} source rows and {m} target rows: prompts cannot be added")
+    left = global_rank(target, target_order, "_at")
+    right = global_rank(source, source_order, "_at").select("_at", F.col(caption).alias(into))
+    return left.drop(into).join(right, "_at").drop("_at")
 
 
 def truncate_log(log: DataFrame, run: list[str], file: str, modified: str, epoch: str, upto: int

@@ -21,6 +21,7 @@ from scenewright.plans.captions import PAIRS, compare_sql
 from scenewright.plans.platformer_sql import BASE
 from scenewright.plans.platformer_sql import captions as platformer_captions
 from scenewright.sources import levels as LV
+from scenewright.session import scratch_folder
 from scenewright.sources import sinks
 
 PIPES = "<>[]"
@@ -123,6 +124,36 @@ def decoded(spark: SparkSession, sf_dir: str) -> DataFrame:
     return same.groupBy("same").agg(F.count("*").alias("n"))
 
 
+def _tile_vectors(spark: SparkSession, sf_dir: str) -> list[list[float]]:
+    """Mean embedding per label, in label order: one vector per tile."""
+    parts = X.table(spark, sf_dir, "embeddings").select("label", F.posexplode("embedding").alias("i", "v"))
+    means = parts.groupBy("label", "i").agg(F.avg(F.col("v").cast("double")).alias("v"))
+    found = means.groupBy("label").agg(F.array_sort(F.collect_list(F.struct("i", "v"))).alias("x")).orderBy("label")
+    return [[c["v"] for c in row["x"]] for row in found.collect()]  # a row per tile
+
+
+def nearest_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tiles = _tile_vectors(spark, sf_dir)
+    return X.table(spark, sf_dir, "embeddings").select("vec_id", S.nearest_tile(F.col("embedding"), tiles).alias("tile"))
+
+
+def embedded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = S.embed_tiles(F.col("scene"), _tile_vectors(spark, sf_dir))
+    first = F.aggregate(F.flatten(vectors), F.lit(0.0), lambda s, v: s + F.coalesce(F.get(v, F.lit(0)), F.lit(0.0)))
+    return _scene_ids(spark, sf_dir).select("scene_id", F.round(first, 6).alias("total"))
+
+
+def backed_up(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Samples written twice: the backup has the first version."""
+    folder = scratch_folder(spark, "backup")
+    pairs = X.pairs(spark, sf_dir)
+    for caption in ("prompt", "generated"):
+        sinks.write_backed_up(pairs.select("sample_id", F.col(caption).alias("caption")), f"{folder}/now", f"{folder}/old")
+    read = lambda name: spark.read.schema("sample_id bigint, caption string").json(f"{folder}/{name}").select(
+        F.lit(name).alias("version"), "sample_id", "caption")
+    return read("now").unionByName(read("old"))
+
+
 def square(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _scene_ids(spark, sf_dir).groupBy(S.is_square(F.col("scene"), 16).alias("square")).agg(
         F.count("*").alias("n"))
@@ -274,6 +305,10 @@ PATCH = BASE + """, ln AS (SELECT a.scene_id, a.r, a.line AS l0, b.line AS l1, d
 pt AS (SELECT substr(l0, x, 3) || substr(l1, x, 3) || substr(l2, x, 3) AS patch FROM ln, (SELECT unnest(range(1, 15)) AS x))
 """
 
+TILE_VECTORS = """WITH parts AS (SELECT label, unnest(embedding)::DOUBLE AS v, generate_subscripts(embedding, 1) AS i FROM embeddings),
+means AS (SELECT label, i, avg(v) AS v FROM parts GROUP BY label, i),
+tiles AS (SELECT row_number() OVER (ORDER BY label) - 1 AS tile, list(v ORDER BY i) AS e FROM means GROUP BY label)"""
+
 QUERIES = {
     "a01_tile_ids": (tile_ids, """
 WITH c AS (SELECT DISTINCT lang, unnest(string_split(text, '')) AS ch FROM documents)
@@ -295,6 +330,14 @@ SELECT ch, instr('{S.grouped_alphabet(DIRECTIONAL)}', CASE WHEN instr('{DIRECTIO
 FROM fx_cells GROUP BY ALL"""),
     "b03_wrap_tiles": (_ids(lambda s: S.wrap_tiles(s, 8)), ids_sql(f"({ID}) % 8")),
     "b04_one_hot_decode": (decoded, "WITH " + X.scene_sql() + " SELECT true AS same, count(*) AS n FROM fx_grid"),
+    "a10_backed_up": (backed_up, PAIRS + """
+SELECT 'now' AS version, sample_id, generated AS caption FROM fx_pairs UNION ALL SELECT 'old', sample_id, prompt FROM fx_pairs"""),
+    "b04_embedding_lookup": (embedded, TILE_VECTORS + "," + X.scene_sql() + f"""
+SELECT scene_id, round(sum(coalesce(e[1], 0)), 6) AS total FROM fx_cells LEFT JOIN tiles ON tile = {ID} GROUP BY scene_id"""),
+    "b05_nearest_tile": (nearest_tiles, TILE_VECTORS + """,
+c AS (SELECT vec_id, tile, round(list_cosine_similarity(CAST(embedding AS DOUBLE[]), e), 9) AS cosine FROM embeddings, tiles)
+SELECT vec_id, CAST(tile AS INT) AS tile FROM (
+  SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY cosine DESC, tile) AS rk FROM c) WHERE rk = 1"""),
     "b08_validate_patches": (square, "WITH " + X.scene_sql() + " SELECT true AS square, count(*) AS n FROM fx_grid"),
     "b07_validate_scene": (reasons, "WITH " + X.scene_sql("ladder") + """
 SELECT CASE WHEN NOT contains(grid, 'M') THEN 'no spawn' WHEN NOT contains(grid, 'G') THEN 'no gold' ELSE 'fine' END AS reason,

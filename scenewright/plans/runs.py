@@ -62,6 +62,28 @@ def checkpoints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.latest_checkpoint(paths, ["grp"], "path")
 
 
+def final_models(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Event types with long names have a finished model."""
+    events = X.table(spark, sf_dir, "events").select(F.col("event_type").alias("grp"), "event_id")
+    steps_ = events.select("grp", F.format_string("out/checkpoint-%d", "event_id").alias("path"))
+    models = events.where(F.length("grp") > 5).select("grp", F.lit("out/unet").alias("path")).distinct()
+    return R.latest_checkpoint(steps_.unionByName(models), ["grp"], "path", final="unet")
+
+
+def unusable(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every customer is expected to have a log of each event type."""
+    kinds = ["click", "error", "purchase", "signup", "view"]
+    expected = X.table(spark, sf_dir, "customer").select(
+        F.explode(F.array(*map(F.lit, kinds))).alias("grp"), F.col("c_custkey").alias("run"))
+    return R.unusable_logs(expected, X.run_log(spark, sf_dir), RUN, "loss")
+
+
+def zipped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = X.table(spark, sf_dir, "documents").select("doc_id", "source")
+    return R.zip_prompts(X.pairs(spark, sf_dir).select("sample_id", "prompt"), docs, ["sample_id"],
+                         ["source", "doc_id"], "prompt")
+
+
 def truncated(spark: SparkSession, sf_dir: str) -> DataFrame:
     log = X.run_log(spark, sf_dir).withColumnRenamed("run", "file")
     return R.truncate_log(log, ["grp"], "file", "ts", "epoch", 5).select("grp", "file", "epoch", "loss")
@@ -309,6 +331,9 @@ SELECT name, CASE WHEN contains(name, '-conditional-') THEN 'conditional' WHEN c
     "b09_format_duration": (clocks, f"SELECT o_orderkey, {CLOCK('o_totalprice')} AS clock FROM orders"),
     "f06_zip_prompts": (turns, """SELECT a.conv_id, b.turn, length(a.text) AS prompt_length, length(b.text) AS answer_length
 FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1 WHERE a.role = 'user' AND b.role <> 'user'"""),
+    "f06_zip_by_position": (zipped, PAIRS + """
+SELECT doc_id, source, prompt FROM (SELECT doc_id, source, row_number() OVER (ORDER BY source, doc_id) AS i FROM documents)
+JOIN (SELECT prompt, row_number() OVER (ORDER BY sample_id) AS i FROM fx_pairs) USING (i)"""),
     "f07_combine_stages": (stages, """
 WITH m AS (SELECT c_mktsegment AS g, c_nationkey AS k, avg(c_acctbal) AS t FROM customer GROUP BY ALL),
 s AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY k) AS i FROM m),
@@ -343,6 +368,11 @@ SELECT grp, count(*) AS n, round(avg(total), 6) AS mean, round(stddev_pop(total)
   round(quantile_cont(total, 0.25), 6) AS q1, round(quantile_cont(total, 0.75), 6) AS q3, min(total) AS "min", max(total) AS "max",
   {CLOCK('median(total)')} AS median_clock, {CLOCK('max(total)')} AS max_clock FROM dur GROUP BY grp"""),
     "g10_time_to_best": (_durations, DUR + " SELECT grp, run, total, to_best FROM dur"),
+    "g10_unusable_logs": (unusable, """
+WITH x AS (SELECT unnest(['click', 'error', 'purchase', 'signup', 'view']) AS grp, c_custkey AS run FROM customer),
+s AS (SELECT event_type AS grp, user_id AS run, count(*) AS lines, count(value) AS losses FROM events GROUP BY 1, 2)
+SELECT grp, run, CASE WHEN lines IS NULL THEN 'no log' WHEN lines < 2 THEN 'fewer than two lines' ELSE 'no loss' END AS reason
+FROM x LEFT JOIN s USING (grp, run) WHERE lines IS NULL OR lines < 2 OR losses = 0"""),
     "g11_best_model_stats": (model_stats, IMPROVED + """
 SELECT grp, count(*) AS models, round(avg(best_epoch), 6) AS best_epoch_avg, round(avg(best_loss), 6) AS best_loss_avg,
   round(median(best_epoch), 6) AS best_epoch_median, round(median(best_loss), 6) AS best_loss_median FROM best GROUP BY grp"""),
@@ -400,6 +430,9 @@ b AS (SELECT *, max(CASE WHEN improved THEN epoch END) OVER (PARTITION BY grp, r
 SELECT grp, run, min(epoch) FILTER (NOT improved AND epoch - coalesce(be, 0) >= 4) AS stop_epoch FROM b GROUP BY grp, run"""),
     "h05_latest_checkpoint": (checkpoints, """
 SELECT event_type AS grp, 'out/checkpoint-' || max(event_id) AS path, max(event_id) AS epoch FROM events GROUP BY 1"""),
+    "h05_final_model": (final_models, """
+SELECT event_type AS grp, CASE WHEN length(event_type) > 5 THEN 'out' ELSE 'out/checkpoint-' || max(event_id) END AS path,
+  max(event_id) + CASE WHEN length(event_type) > 5 THEN 1 ELSE 0 END AS epoch FROM events GROUP BY event_type"""),
     "h06_truncate_log": (truncated, L + """,
 f AS (SELECT grp, run, max(ts) AS m FROM fx_run_log GROUP BY grp, run), n AS (SELECT grp, max_by(run, (m, run)) AS run FROM f GROUP BY grp)
 SELECT grp, run AS file, epoch, loss FROM fx_run_log JOIN n USING (grp, run) WHERE epoch <= 5"""),

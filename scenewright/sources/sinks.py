@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -21,6 +22,16 @@ def write_versioned(df: DataFrame, path: str, version: str) -> str:
     return target
 
 
+def write_backed_up(df: DataFrame, path: str, backup: str) -> None:
+    """JSON lines; what is there is copied to ``backup`` first, replacing an older copy."""
+    try:
+        df.sparkSession.read.text(path).write.mode("overwrite").text(backup)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+    df.write.mode("overwrite").json(path, ignoreNullFields=False)
+
+
 def ascii_text(rows: Column, last_rows: int | None = None) -> Column:
     """A scene as text, one line per row; optionally only the lowest rows."""
     shown = rows if last_rows is None else F.slice(
