@@ -10,7 +10,6 @@ white space may be one token, are encoded as they are.
 from __future__ import annotations
 
 import os
-import re
 
 import numpy as np
 import pyarrow as pa
@@ -19,12 +18,12 @@ import pyarrow.compute as pc
 from scenewright.llm import arrays as A
 
 SLICE_BYTES = 3 << 20
-#: Pieces kept in memory, some 250 bytes each; beyond it the memory starts anew.
+#: Words and other pieces kept in memory, some 250 bytes each; beyond it the memory starts anew.
 MEMORY = 400_000
 #: Ids in memory are little-endian 32-bit numbers, one byte string a piece.
 ID = np.dtype("<i4")
 RUN = r"[\s\v\x1c-\x1f\x{85}\p{Z}] "
-WORD_AND_TAIL = re.compile(r"( ?[A-Za-zÀ-ÖØ-öø-ÿ]+)([.,!?;:|&#$%*()]*)")
+WORD_AND_TAIL = r"^(?P<word> ?[A-Za-zÀ-ÖØ-öø-ÿ]+)(?P<tail>[.,!?;:|&#$%*()]*)$"
 
 
 class Encoder:
@@ -42,9 +41,9 @@ class Encoder:
         self.edge = np.zeros(size, bool)  # last id of a word, or first id after a space
         for token, i in vocab.items():
             self.edge[i] = token.endswith("</w>") if self.word_ends else token.startswith("Ġ")
-        self.memory: dict[str, bytes] = {}  # pieces
         self.words: dict[str, bytes] = {}
         self.tails: dict[str, bytes] = {}
+        self.others: dict[str, bytes] = {}  # pieces that are not a word and its tail
 
     def _encode(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -64,26 +63,40 @@ class Encoder:
             out += [raw[a:b] for a, b in zip(at, at[1:])]
         return out
 
-    def _learn(self, pieces: list[str]) -> None:
-        plain, other, split, rest = {}, {}, [], []
-        for piece in pieces:
-            m = WORD_AND_TAIL.fullmatch(piece)
-            if m and (self.word_ends or piece[0] == " "):
-                word, tail = m.groups()
-                word = word.strip().lower() if self.word_ends else word
-                split.append((piece, word, tail))
-                if word not in self.words:
-                    plain[word] = None
-                if tail and tail not in self.tails:
-                    other[tail] = None
-            else:
-                rest.append(piece)
-        for names, ids, into in ((list(plain), self._words, self.words), (list(other), self._bytes, self.tails),
-                                 (rest, self._bytes, self.memory)):
-            into.update(zip(names, ids(names)))
-        for piece, word, tail in split:
-            ids = self.words[word]
-            self.memory[piece] = ids + self.tails[tail] if tail else ids
+    def _look_up(self, values: pa.Array, held: dict, encode) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """All ids, and where those of each value start and how many they are; new values are encoded."""
+        coded = values.dictionary_encode()
+        names = coded.dictionary.to_pylist()
+        new = [x for x in names if x not in held]
+        if new:
+            held.update(zip(new, encode(new)))
+        known = [held[x] for x in names]
+        size = np.fromiter(map(len, known), np.int64, len(known)) // ID.itemsize
+        code = coded.indices.to_numpy()
+        return np.frombuffer(b"".join(known), ID), (np.cumsum(size) - size)[code], size[code]
+
+    def _pieces(self, names: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The same for distinct pieces, whose words and tails are looked up apart."""
+        parts = pc.extract_regex(names, WORD_AND_TAIL)
+        plain = pc.is_valid(parts)
+        if not self.word_ends:
+            plain = pc.and_(plain, pc.starts_with(names, " "))
+        parts = parts.filter(plain)
+        word, tail = pc.struct_field(parts, "word"), pc.struct_field(parts, "tail")
+        if self.word_ends:
+            word = pc.utf8_lower(word)
+        plain = np.asarray(plain.to_numpy(zero_copy_only=False), bool)
+        start, size, flat, base = np.zeros((len(names), 2), np.int64), np.zeros((len(names), 2), np.int64), [], 0
+        for rows, column, values, held, encode in (
+                (plain, 0, word, self.words, self._words), (plain, 1, tail, self.tails, self._bytes),
+                (~plain, 0, names.filter(pa.array(~plain)), self.others, self._bytes)):
+            ids, first, n = self._look_up(values, held, encode)
+            start[rows, column], size[rows, column] = first + base, n
+            flat.append(ids)
+            base += len(ids)
+        ids = np.concatenate(flat)[A.ranges(start.ravel(), size.ravel())]
+        total = size.sum(axis=1)
+        return ids, np.cumsum(total) - total, total
 
     def _slice(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         whole = np.asarray(pc.match_substring_regex(texts, RUN).to_numpy(zero_copy_only=False), bool)
@@ -92,27 +105,22 @@ class Encoder:
         pieces = pc.split_pattern(pc.if_else(pa.array(whole), "", texts), " ")
         counts = np.diff(pieces.offsets.to_numpy()).astype(np.int64)
         coded = pieces.flatten().dictionary_encode()
-        names = coded.dictionary.to_pylist()
+        names = coded.dictionary
         code = coded.indices.to_numpy().astype(np.int64)
         if not self.word_ends:  # all but the first piece of a text begin with their space
             first = np.zeros(len(code), bool)
             first[np.cumsum(counts) - counts] = True
             n = len(names)
-            names = [" " + x for x in names] + names
+            names = pa.concat_arrays([pc.binary_join_element_wise("", names, " "), names])
             code = code + n * first
             used, code = np.unique(code, return_inverse=True)
-            names = [names[i] for i in used.tolist()]
-        if len(self.memory) + len(self.words) > MEMORY:
-            for held in (self.memory, self.words, self.tails):
+            names = names.take(pa.array(used))
+        if len(self.others) + len(self.words) > MEMORY:
+            for held in (self.others, self.words, self.tails):
                 held.clear()
-        new = [p for p in names if p not in self.memory]
-        if new:
-            self._learn(new)
-        known = [self.memory[p] for p in names]
-        size = np.fromiter(map(len, known), np.int64, len(known)) // ID.itemsize
-        flat = np.frombuffer(b"".join(known), ID)
+        flat, start, size = self._pieces(names)
         lengths = size[code]
-        ids = flat[A.ranges((np.cumsum(size) - size)[code], lengths)]
+        ids = flat[A.ranges(start[code], lengths)]
         total = np.zeros(len(code) + 1, np.int64)
         np.cumsum(lengths, out=total[1:])
         at = np.concatenate([[0], np.cumsum(counts)])
