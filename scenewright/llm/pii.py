@@ -1,17 +1,25 @@
 """Personal data replaced by surrogates, on DataFrame functions only.
 
 Entities are found by patterns, in this order of precedence: e-mail addresses,
-IP addresses, quoted or long hexadecimal secrets, phone numbers, card numbers,
-social security numbers, bank accounts and names after a title. Each distinct
-entity (type and canonical value: lower case, or digits alone) gets one keyed
+IP addresses (4 and 6), quoted or long hexadecimal secrets, phone numbers (with
+a country code, or in national groupings), card numbers (in fours, 4-6-5 or
+solid), social security numbers, bank accounts (solid or in fours) and names
+after a title. A name found after a title is also found without one in the same
+text, whole or as its family name alone. Each distinct entity (type and canonical value: lower case, or digits alone) gets one keyed
 surrogate for the whole corpus, so mentions that belong together stay together:
 
 * digits become digits and letters become letters of the same case; separators,
   the country code, the top-level domain and the token's alphabet (hexadecimal)
   stay, an address keeps four octets, a valid card number stays valid;
+* an IPv6 address becomes eight groups of four hexadecimal digits;
 * a name keeps its title; the given name is drawn from names of the title's
   gender in the script of the original, the family name is made of syllables of
-  that script.
+  that script. The family name is an entity of its own, so it has one surrogate
+  in all forms of a name and for all who bear it.
+
+Not found: names that have no title in their text, given names that stand alone,
+third words of a name, and phone numbers without any separator or country code.
+Numbers of one phone with and without its country code are two entities.
 
 Collision checks keep what is distinct distinct: a surrogate that equals an
 original of its type, or that a smaller entity has already, is drawn anew with
@@ -40,15 +48,26 @@ EMAIL = r"[A-Za-z0-9][A-Za-z0-9._%+-]*@(?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,}"
 OCTET = r"(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 IP = rf"(?<![0-9.])(?:{OCTET}\.){{3}}{OCTET}(?![0-9]|\.[0-9])"
 SECRET = r"(?<=[=:]\s?[\"'])[A-Za-z0-9+/_-]{16,}(?=[\"'])|\b[0-9a-f]{32,}\b|\b[0-9A-F]{32,}\b"
-PHONE = r"(?<![0-9+])\+[0-9]{1,3}[ .-]?\(?[0-9]{2,4}\)?[ .-]?[0-9]{3,4}[ .-]?[0-9]{3,4}(?![0-9])"
-CARD = r"(?<![0-9])(?:[0-9]{13,19}|[0-9]{4}(?:[ -][0-9]{4}){3})(?![0-9])"
+HEX = "[0-9A-Fa-f]{1,4}"
+IP6 = (rf"(?<![0-9A-Za-z:.])(?=[A-Fa-f:]*[0-9])(?:(?:{HEX}:){{7}}{HEX}|(?:{HEX}:){{1,7}}:(?:{HEX}(?::{HEX}){{0,6}})?|"
+       rf"::{HEX}(?::{HEX}){{0,6}})(?![0-9A-Za-z:]|\.[0-9])")
+#: With a country code in three groups or in up to six; area code and number; trunk zero; pairs after a trunk zero.
+PHONE = (r"(?<![0-9+])(?:\+[0-9]{1,3}[ .-]?\(?[0-9]{2,4}\)?[ .-]?[0-9]{3,4}[ .-]?[0-9]{3,4}|"
+         r"\+(?=(?:[ .()-]{0,2}[0-9]){8})[0-9]{1,3}(?:[ .-]?\(?[0-9]{1,4}\)?){2,6}|"
+         r"(?<![0-9][ .-])(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![ .-][0-9])|"
+         r"(?<![0-9][ .-])0[1-9](?:[ .-][0-9]{2}){4}(?![ .-][0-9])|"
+         r"(?<![0-9][ .-])(?:\(0[1-9][0-9]{1,4}\) ?|0[1-9][0-9]{1,4}[ /.-])[0-9]{3,4}(?:[ .-]?[0-9]{2,4}){1,2})(?![0-9])")
+CARD = r"(?<![0-9])(?:[0-9]{13,19}|[0-9]{4}(?:[ -][0-9]{4}){3}|[0-9]{4}[ -][0-9]{6}[ -][0-9]{4,5})(?![0-9])"
 SSN = r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"
-IBAN = r"\b[A-Z]{2}[0-9]{2}[A-Z0-9]{4}[0-9]{7}[A-Z0-9]{0,16}\b"
+IBAN = (r"\b[A-Z]{2}[0-9]{2}(?:[A-Z0-9]{4}[0-9]{7}[A-Z0-9]{0,16}| [A-Z0-9]{4}"
+        r"(?: (?=[A-Z]{0,3}[0-9]|[A-Z]{4} [A-Z]{0,3}[0-9])[A-Z0-9]{4}){1,6} (?=[A-Z]{0,3}[0-9])[A-Z0-9]{1,4})\b")
 WOMAN = r"(?:Mrs|Ms|Miss|Madame|Mme|Frau|Señora|Sra|Doña|Госпожа)"
 MAN = r"(?:Mr|Mister|Monsieur|Herr|Señor|Sr|Don|Господин)"
 ANY = r"(?:Dr|Prof)"
-NAME = rf"(?<![\p{{L}}])(?:{WOMAN}|{MAN}|{ANY})\.? \p{{Lu}}\p{{Ll}}+(?: \p{{Lu}}\p{{Ll}}+)?"
-TYPES = {"email": EMAIL, "ip": IP, "secret": SECRET, "phone": PHONE, "card": CARD, "ssn": SSN, "iban": IBAN, "name": NAME}
+WORD = r"\p{Lu}(?:['’]\p{Lu})?\p{Ll}+(?:-\p{Lu}\p{Ll}+)*"
+NAME = rf"(?<![\p{{L}}])(?:{WOMAN}|{MAN}|{ANY})\.? {WORD}(?: {WORD})?"
+TITLE = rf"^(?:{WOMAN}|{MAN}|{ANY})\.? "
+TYPES = {"email": EMAIL, "ip": IP, "ip6": IP6, "secret": SECRET, "phone": PHONE, "card": CARD, "ssn": SSN, "iban": IBAN, "name": NAME}
 PATTERN = "|".join(f"(?:{p})" for p in TYPES.values())
 #: Cheap test that every text with an entity passes.
 HINT = rf"[0-9@]|[0-9a-fA-F]{{32}}|{WOMAN}|{MAN}|{ANY}|=\s?[\"']|:\s?[\"']"
@@ -75,8 +94,8 @@ def kind_of(entity: Column) -> Column:
 
 def canonical(kind: Column, entity: Column) -> Column:
     return (F.when(kind.isin("phone", "card", "ssn"), F.regexp_replace(entity, "[^0-9]", ""))
-            .when(kind == "name", F.regexp_replace(entity, rf"^(?:{WOMAN}|{MAN}|{ANY})\.? ", ""))
-            .when(kind == "iban", entity).otherwise(F.lower(entity)))
+            .when(kind.isin("name", "family"), F.regexp_replace(entity, TITLE, ""))
+            .when(kind == "iban", F.regexp_replace(entity, " ", "")).otherwise(F.lower(entity)))
 
 
 def _draw(seed: Column, length: Column) -> Column:
@@ -112,22 +131,27 @@ def _luhn(digits: Column) -> Column:
     return F.aggregate(values, F.lit(0), add) % 10
 
 
-def _name(value: Column, drawn: Column, attempt: Column, gender: Column) -> Column:
+def family_of(value: Column) -> Column:
+    return F.substring_index(value, " ", -1)
+
+
+def _name(value: Column, drawn: Column, attempt: Column, gender: Column, family: Column) -> Column:
+    """A family name, or a given name before the surrogate of the family; from the eighth attempt on of syllables."""
     def words(script: str) -> Column:
         given = [F.lit(GIVEN[script, g].split()) for g in "wm"]
         syllables = F.lit(SYLLABLES[script].split())
         woman = F.when(gender == "w", True).when(gender == "m", False).otherwise(F.get(drawn, F.lit(7)) % 2 == 0)
         n = F.get(drawn, F.lit(0))
         first = F.when(woman, F.get(given[0], n % F.size(given[0]))).otherwise(F.get(given[1], n % F.size(given[1])))
-        last = F.initcap(F.array_join(F.transform(
+        made = F.initcap(F.array_join(F.transform(
             F.sequence(F.lit(1), F.lit(3) + attempt),
             lambda i: F.get(syllables, F.get(drawn, i) % F.size(syllables))), ""))
-        return F.when(value.contains(" "), F.concat_ws(" ", first, last)).otherwise(last)
+        return F.when(family.isNull(), made).otherwise(F.concat_ws(" ", F.when(attempt < 8, first).otherwise(made), family))
     return F.when(value.rlike(r"\p{IsCyrillic}"), words("cyrillic")).otherwise(words("latin"))
 
 
-def surrogate(kind: Column, value: Column, gender: Column, attempt: Column, key: str) -> Column:
-    """The surrogate of a canonical value; different for every attempt."""
+def surrogate(kind: Column, value: Column, gender: Column, family: Column, attempt: Column, key: str) -> Column:
+    """The surrogate of a canonical value; different for every attempt. ``family`` is that of a whole name."""
     seed = F.concat_ws("|", F.lit(key), kind, attempt.cast("string"), value)
     length = F.length(value) + F.lit(16) + attempt
 
@@ -136,6 +160,8 @@ def surrogate(kind: Column, value: Column, gender: Column, attempt: Column, key:
         plain = _chars(value, drawn, hexadecimal)
         octets = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(3)), lambda i: (
             F.get(drawn, i) % 254 + 1).cast("string")), ".")
+        groups = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(7)), lambda i: F.lower(F.lpad(F.hex(
+            F.get(drawn, 2 * i) * 256 + F.get(drawn, 2 * i + 1)), 4, "0"))), ":")
         top = F.regexp_extract(value, r"\.[A-Za-z]+$", 0)
         mail = F.concat(F.substring(plain, F.lit(1), F.length(value) - F.length(top)), top)
         body_digits = F.substring(plain, F.lit(1), F.length(value) - 1)
@@ -143,32 +169,36 @@ def surrogate(kind: Column, value: Column, gender: Column, attempt: Column, key:
         card = F.when(_luhn(value) == 0, check).otherwise(plain)
         phone = F.concat(F.substring(value, 1, 1), F.substring(plain, F.lit(2), F.length(value)))
         bank = F.concat(F.substring(value, 1, 2), F.substring(plain, F.lit(3), F.length(value)))
-        return (F.when(kind == "email", mail).when(kind == "ip", octets).when(kind == "card", card)
+        return (F.when(kind == "email", mail).when(kind == "ip", octets).when(kind == "ip6", groups).when(kind == "card", card)
                 .when(kind == "phone", phone).when(kind == "iban", bank)
-                .when(kind == "name", _name(value, drawn, attempt, gender)).otherwise(plain))
+                .when(kind.isin("name", "family"), _name(value, drawn, attempt, gender, family)).otherwise(plain))
     return let(_draw(seed, length), body)
 
 
 def fitted(kind: Column, entity: Column, value: Column, replacement: Column) -> Column:
     """The surrogate in the format of the mention: its separators, its capitals, its title."""
-    def digits(c: Column, i: Column) -> Column:
-        nth = F.length(F.regexp_replace(F.substring(entity, F.lit(1), i + 1), "[^0-9]", ""))
-        return F.when(c.rlike("[0-9]"), F.substring(replacement, nth, F.lit(1))).otherwise(c)
+    def spaced(own: str) -> Column:
+        def one(c: Column, i: Column) -> Column:
+            nth = F.length(F.regexp_replace(F.substring(entity, F.lit(1), i + 1), f"[^{own}]", ""))
+            return F.when(c.rlike(f"[{own}]"), F.substring(replacement, nth, F.lit(1))).otherwise(c)
+        return F.array_join(F.transform(F.split(entity, ""), one), "")
 
     title = F.substring(entity, F.lit(1), F.length(entity) - F.length(value))
     upper = F.when((entity == F.upper(entity)) & (entity != F.lower(entity)), F.upper(replacement)).otherwise(replacement)
-    return (F.when(kind.isin("phone", "card", "ssn"), F.array_join(F.transform(F.split(entity, ""), digits), ""))
-            .when(kind == "name", F.concat(title, replacement)).when(kind == "iban", replacement).otherwise(upper))
+    return (F.when(kind.isin("phone", "card", "ssn"), spaced("0-9"))
+            .when(kind.isin("name", "family"), F.concat(title, replacement)).when(kind == "iban", spaced("0-9A-Z"))
+            .otherwise(upper))
 
 
 def assign(entities: DataFrame, key: str) -> DataFrame:
-    """(kind, value, replacement) for distinct (kind, value, gender); no two of a kind share one, none is an original."""
+    """(kind, value, replacement) for distinct (kind, value, gender, family); no two of a kind share one, none is an original."""
     originals = entities.select("kind", F.col("value").alias("replacement"))
     pending = entities.withColumn("attempt", F.lit(0))
     done = None
     while True:
         drawn = stored(pending.withColumn("replacement", surrogate(
-            F.col("kind"), F.col("value"), F.col("gender"), F.col("attempt"), key)), "surrogates")
+            F.col("kind"), F.col("value"), F.col("gender"), F.col("family"), F.col("attempt"),
+            key)), "surrogates")
         free = drawn.join(originals, ["kind", "replacement"], "left_anti")
         if done is not None:
             free = free.join(done, ["kind", "replacement"], "left_anti")
@@ -176,32 +206,59 @@ def assign(entities: DataFrame, key: str) -> DataFrame:
         good = first.select("kind", "value", "replacement")
         done = stored(good if done is None else done.unionByName(good), "assigned")
         pending = (drawn.join(done.select("kind", "value"), ["kind", "value"], "left_anti")
-                   .select("kind", "value", "gender", (F.col("attempt") + 1).alias("attempt")))
+                   .select("kind", "value", "gender", "family", (F.col("attempt") + 1).alias("attempt")))
         if pending.isEmpty():
             return done
 
 
+def assign_all(entities: DataFrame, key: str) -> DataFrame:
+    """(kind, value, replacement) of all entities: family names first, whole names end in them."""
+    whole = entities.where("kind = 'name'")
+    families = (entities.where("kind = 'family'").select("value")
+                .unionByName(whole.select(family_of(F.col("value")).alias("value"))).distinct())
+    none = F.lit(None).cast("string")
+    given = assign(families.select(F.lit("family").alias("kind"), "value", none.alias("gender"), none.alias("family")), key)
+    names = (whole.withColumn("_family", family_of(F.col("value")))
+             .join(given.select(F.col("value").alias("_family"), F.col("replacement").alias("family")), "_family")
+             .select("kind", "value", "gender", "family"))
+    rest = entities.where("kind not in ('name', 'family')").select("kind", "value", "gender", none.alias("family"))
+    return given.unionByName(assign(stored(rest.unionByName(names), "entities"), key))
+
+
+def names_in(found: Column) -> Column:
+    """Names after a title among the found entities, and their family names; longer ones before their beginnings."""
+    whole = F.transform(F.filter(found, lambda e: e.rlike(f"^(?:{NAME})$")), lambda e: F.regexp_replace(e, TITLE, ""))
+    return F.coalesce(let(whole, lambda w: F.sort_array(F.array_union(w, F.transform(w, family_of)), asc=False)),
+                      F.array().cast("array<string>"))
+
+
 def replace_entities(docs: DataFrame, key: str = KEY, text: str = "text", count: str | None = None) -> DataFrame:
     """The same table with entities replaced; ``count`` names a column for their number, if wanted."""
-    body, held, mark = F.col(f"`{text}`"), "_entities", "_text_key"
+    body, held, mark, names, pattern = F.col(f"`{text}`"), "_entities", "_text_key", "_names", "_pattern"
     columns = [F.col(f"`{c}`") for c in docs.columns]
     found = F.when(body.rlike(HINT), F.regexp_extract_all(body, F.lit(PATTERN), F.lit(0)))
     some = F.coalesce(F.size(found) > 0, F.lit(False))
     plain = docs.where(~some)
-    hit = docs.where(some).withColumn(mark, F.md5(body)).withColumn(held, found)
-    mentions = (hit.select(mark, F.posexplode(held).alias("at", "entity"))
-                .withColumn("kind", kind_of(F.col("entity")))
-                .withColumn("value", canonical(F.col("kind"), F.col("entity")))
+    named = F.size(names) > 0
+    hit = (docs.where(some).withColumn(mark, F.md5(body)).withColumn(held, found).withColumn(names, names_in(F.col(held)))
+           .withColumn(pattern, F.when(named, F.concat(
+               F.lit(PATTERN + r"|(?<!\p{L})(?:"), F.array_join(names, "|"), F.lit(r")(?!\p{L})"))).otherwise(PATTERN))
+           .withColumn(held, F.when(named, F.regexp_extract_all(body, F.col(pattern), F.lit(0))).otherwise(F.col(held))))
+    kind = F.when(F.array_contains(names, F.col("entity")), "name").otherwise(kind_of(F.col("entity")))
+    mentions = (hit.select(mark, names, F.posexplode(held).alias("at", "entity"))
+                .withColumn("kind", kind).withColumn("value", canonical(F.col("kind"), F.col("entity")))
                 .withColumn("gender", F.when(F.col("kind") == "name", F.when(F.col("entity").rlike(f"^{WOMAN}"), "w")
-                                             .when(F.col("entity").rlike(f"^{MAN}"), "m"))))
+                                             .when(F.col("entity").rlike(f"^{MAN}"), "m")))
+                .withColumn("kind", F.when((F.col("kind") == "name") & ~F.col("value").contains(" "), "family")
+                            .otherwise(F.col("kind"))).drop(names))
     mentions = stored(mentions.distinct(), "mentions")
     entities = mentions.groupBy("kind", "value").agg(F.min("gender").alias("gender"))
-    given = assign(entities, key)
+    given = assign_all(entities, key)
     ready = (mentions.join(given, ["kind", "value"])
              .groupBy(mark).agg(F.sort_array(F.collect_list(F.struct(
                  "at", fitted(F.col("kind"), F.col("entity"), F.col("value"), F.col("replacement")).alias("to")))
              ).alias("_replacements")))
-    rest = F.split(body, PATTERN, -1)
+    rest = F.when(named, F.split(body, F.col(pattern), -1)).otherwise(F.split(body, PATTERN, -1))
     rewritten = F.concat_ws("", F.flatten(F.zip_with(rest, F.col("_replacements")["to"], lambda a, b: F.array(
         a, F.coalesce(b, F.lit(""))))))
     changed = hit.join(ready, mark)
