@@ -2,13 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from scenewright.operators.captioner import platformer_caption
 
@@ -45,29 +41,28 @@ def live_best(log: DataFrame, run: list[str], epoch: str, loss: str) -> DataFram
 
 
 def stop_signals(log: DataFrame, run: str, epoch: str, loss: str, patience: int) -> DataFrame:
-    """``(run, stop_epoch)`` once a run has gone ``patience`` epochs without improving.
+    """``(run, stop_epoch)`` of runs that have gone ``patience`` epochs without improving.
 
-    State per run is its best loss, that epoch and the last epoch seen; rows of
-    epochs that were already passed are ignored.
+    The state of a run is its rows, for a late one may reset the patience or take
+    a stop back. So files may arrive in any order; the result is the whole
+    aggregate (complete mode). Of several rows of an epoch the least loss counts.
     """
-    def follow(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        best, best_epoch, seen, stopped = state.get if state.exists else (float("inf"), 0, -1, -1)
-        rows = pd.concat(list(frames)).sort_values(epoch)
-        for e, value in zip(rows[epoch], rows[loss]):
-            if e <= seen or stopped >= 0:
-                continue
-            seen = int(e)
-            if pd.notna(value) and value < best:
-                best, best_epoch = float(value), int(e)
-            elif e - best_epoch >= patience:
-                stopped = int(e)
-                yield pd.DataFrame({run: [key[0]], "stop_epoch": [stopped]})
-        state.update((best, best_epoch, seen, stopped))
-
-    return log.select(run, epoch, loss).groupBy(run).applyInPandasWithState(
-        follow, f"{run} {dict(log.dtypes)[run]}, stop_epoch bigint",
-        "best double, best_epoch bigint, seen bigint, stopped bigint", "append",
-        GroupStateTimeout.NoTimeout)
+    value = F.col(loss).cast("double")
+    none = F.lit(float("nan"))  # sorts after all losses and never improves
+    rows = F.sort_array(F.collect_list(F.when(F.col(epoch).isNotNull(), F.struct(
+        F.col(epoch).cast("long").alias("e"), F.coalesce(value, none).alias("v")))))
+
+    def follow(s: Column, row: Column) -> Column:
+        better = ~F.isnan(row["v"]) & (row["v"] < s["best"])
+        stops = F.when(~better & (row["e"] - s["at"] >= patience), row["e"])
+        return F.when(s["stop"].isNotNull(), s).otherwise(F.struct(
+            F.when(better, row["v"]).otherwise(s["best"]).alias("best"),
+            F.when(better, row["e"]).otherwise(s["at"]).alias("at"), stops.alias("stop")))
+
+    start = F.struct(F.lit(float("inf")).alias("best"), F.lit(0).cast("long").alias("at"),
+                     F.lit(None).cast("long").alias("stop"))
+    return log.groupBy(run).agg(rows.alias("_rows")).select(
+        run, F.aggregate("_rows", start, follow)["stop"].alias("stop_epoch")).where("stop_epoch IS NOT NULL")
 
 
 def caption_stream(scenes: DataFrame, absence: bool = False) -> DataFrame:
