@@ -22,8 +22,10 @@ from scenewright.llm.queries import tokenizer_file
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the line rules keep, unchanged."""
-    return lines.clean_lines(docs, into="_cleaning").where("_cleaning.kept").select(docs.columns)
+    """Documents that the line rules keep, without their failing lines."""
+    kept = lines.clean_lines(docs, into="_cleaning").where("_cleaning.kept")
+    return (kept.withColumn("text", F.col("_cleaning.clean_text")).withColumn("n_chars", F.length("text").cast("long"))
+            .select(docs.columns))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
