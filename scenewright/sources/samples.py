@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import json
 from urllib.parse import unquote
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,20 +16,53 @@ RUN_LOG = ("epoch INT, loss DOUBLE, lr DOUBLE, step BIGINT, timestamp STRING, va
            "_corrupt_record STRING")
 
 
+def _strict(batches):
+    """(path, error) of files that are not exactly one JSON value."""
+    for batch in batches:
+        bad = []
+        for path, text in zip(batch["file_path"], batch["value"]):
+            try:
+                json.loads(text)
+            except ValueError as e:
+                bad.append((path, str(e)))
+        yield pd.DataFrame(bad, columns=["file_path", "error"])
+
+
 def _by_format(spark: SparkSession, path: str) -> tuple[list[str], list[str]]:
-    """(JSON-lines files, other JSON files): decided for every file by its own lines."""
-    lines = spark.read.text(path).select("_metadata.file_path", F.trim("value").alias("v")).where("v <> ''")
-    found = lines.groupBy("file_path").agg(
-        F.max(F.col("v").rlike(r"^\{.*\}$")).alias("whole"),
-        F.max(F.col("v").startswith("[") | (F.col("v") == "{")).alias("spread")).collect()  # a row per file
-    as_lines = [unquote(r["file_path"]) for r in found if r["whole"] and not r["spread"]]
-    return sorted(as_lines), sorted({unquote(r["file_path"]) for r in found} - set(as_lines))
+    """(JSON-lines files, other JSON files): decided for every file by its first line that is not blank.
+
+    A file of the second kind that is not one JSON value as a whole is an error,
+    for the reader would stop at the end of the first value.
+    """
+    lines = spark.read.text(path).select(
+        "_metadata.file_path", F.trim("value").alias("v"),
+        F.struct("_metadata.file_block_start", F.monotonically_increasing_id().alias("n")).alias("at")).where("v <> ''")
+    first = lines.groupBy("file_path").agg(F.min_by("v", "at").alias("v"))
+    found = first.select("file_path", (F.col("v").startswith("[") | (
+        F.col("v").startswith("{") & ~F.col("v").endswith("}"))).alias("spread")).collect()  # a row per file
+    as_lines = [unquote(r["file_path"]) for r in found if not r["spread"]]
+    others = sorted(unquote(r["file_path"]) for r in found if r["spread"])
+    if others:
+        texts = spark.read.text(others, wholetext=True).select("_metadata.file_path", "value")
+        bad = texts.mapInPandas(_strict, "file_path string, error string").head()
+        if bad:
+            raise ValueError(f"{unquote(bad['file_path'])} is neither JSON lines nor one JSON value: {bad['error']}")
+    return sorted(as_lines), others
+
+
+def _check_lines(spark: SparkSession, files: list[str]) -> None:
+    rows = spark.read.text(files).select("_metadata.file_path", F.trim("value").alias("v")).where("v <> ''")
+    bad = rows.where(F.try_parse_json("v").isNull()).head()
+    if bad:
+        raise ValueError(f"{unquote(bad['file_path'])} has a line that is no JSON: {bad['v'][:80]}")
 
 
 def read_samples(spark: SparkSession, path: str, directed: bool = False, drop_empty: bool = True
                  ) -> DataFrame:
-    """Samples from JSON arrays or JSON lines, file by file."""
+    """Samples from JSON arrays or JSON lines, file by file; a line that is no JSON is an error."""
     lines, arrays = _by_format(spark, path)
+    if lines:
+        _check_lines(spark, lines)
     reader = spark.read.schema(DIRECTED if directed else SAMPLE)
     df = reader.json(lines) if lines or not arrays else None
     if arrays:
