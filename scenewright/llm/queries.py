@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scenewright.llm import debruijn, idcoder, language, lines, minhash, packing, pii, rules, suffixes, winnow
+from scenewright.llm import (debruijn, idcoder, language, lines, merkle, minhash, negatives, packing, pii, rules, shards,
+                             suffixes, winnow)
 from scenewright.llm.corpus import table
 
 
@@ -62,6 +63,29 @@ def op10_surrogate_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.replace_entities(table(spark, sf_dir, "documents").select("doc_id", "text"), count="n_entities")
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    drawn = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 0
+    more = F.when(drawn, F.col("n_chars") + 1).otherwise(F.col("n_chars"))
+    proofs = merkle.manifest(docs, changes={"tampered": {"n_chars": more}})
+    folded = merkle.fold(F.col("tampered"), F.col("path"))
+    return (proofs.select("doc_id", "leaf", "subroot", "root", merkle.proof_digest(F.col("path")).alias("proof_sha256"),
+                          folded.alias("folded_root"))
+            .withColumn("verified", F.col("folded_root") == F.col("root")))
+
+
+def op12_histogram_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    placed = shards.shard_documents(table(spark, sf_dir, "documents"), 8, carry=["doc_id"])
+    return placed.select("row.doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot",
+                         F.lit(None).cast("int").alias("grown_shard"))
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = negatives.quantised(table(spark, sf_dir, "embeddings"))
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.hard_negatives(rows.withColumn("label", moved.cast("int")), "vec_id % 50 = 0")
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -71,7 +95,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_minhash_near_dedup, op3_suffix_array_dedup,
                                 op4_winnowing_decontamination, op5_retrieval_packing, op6_rule_ensemble_quality,
                                 op7_token_id_files, op8_line_cleaning, op9_language_id,
-                                op10_surrogate_pii, pipeline)}
+                                op10_surrogate_pii, op11_merkle_manifest, op12_histogram_shards, op13_hard_negatives, pipeline)}
 SQL: dict[str, str] = {
     "op1_substring_dedup": r"""
 WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
@@ -161,6 +185,51 @@ b AS (SELECT doc_id, len(ws) AS n_words, length(array_to_string(ws, '')) AS word
 f AS (SELECT *, n_words < {lines.MIN_WORDS} OR 100 * n_repeat_words > {lines.MAX_REPEAT_PERCENT} * n_words AS base_failed FROM b)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
   NOT base_failed AND solid >= {1 - lines.MAX_LOST} * word_chars AS kept FROM f""",
+    "op11_merkle_manifest": r"""
+WITH RECURSIVE fields AS (SELECT *, CASE WHEN doc_id IS NULL THEN '-' ELSE strlen(doc_id::VARCHAR) || ':' || doc_id END AS a,
+  CASE WHEN source IS NULL THEN '-' ELSE strlen(source) || ':' || source END AS b,
+  CASE WHEN lang IS NULL THEN '-' ELSE strlen(lang) || ':' || lang END AS c,
+  CASE WHEN text IS NULL THEN '-' ELSE strlen(text) || ':' || text END AS e FROM documents),
+-- CRC-32 of the decimal id, bit by bit
+crc(doc_id, s, i, r) AS (SELECT DISTINCT doc_id, doc_id::VARCHAR, 0, 4294967295::BIGINT FROM documents WHERE doc_id IS NOT NULL
+  UNION ALL SELECT doc_id, s, i + 1, CASE WHEN i % 9 = 0 THEN xor(r, ascii(s[i // 9 + 1])::BIGINT)
+    WHEN r % 2 = 1 THEN xor(r >> 1, 3988292384::BIGINT) ELSE r >> 1 END FROM crc WHERE i < 9 * length(s)),
+drawn AS (SELECT doc_id FROM crc WHERE i = 9 * length(s) AND xor(r, 4294967295::BIGINT) % 7 = 0),
+leaves AS MATERIALIZED (SELECT f.doc_id, coalesce('=' || lang, '') AS g,
+  sha256(a || b || c || CASE WHEN n_chars IS NULL THEN '-' ELSE strlen(n_chars::VARCHAR) || ':' || n_chars END || e) AS leaf,
+  sha256(a || b || c || CASE WHEN n_chars IS NULL THEN '-' ELSE strlen((n_chars + t)::VARCHAR) || ':' || (n_chars + t) END || e) AS bad
+  FROM (SELECT f.*, CASE WHEN d.doc_id IS NULL THEN 0 ELSE 1 END AS t FROM fields f LEFT JOIN drawn d ON d.doc_id = f.doc_id) f),
+placed AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY g ORDER BY doc_id NULLS FIRST, leaf) - 1 AS p FROM leaves),
+low(l, g, i, h, n) AS (SELECT 0, g, p, leaf, count(*) OVER (PARTITION BY g) FROM placed
+  UNION ALL SELECT l + 1, g, i // 2, sha256(string_agg(h, '' ORDER BY i)), any_value((n + 1) // 2) FROM low WHERE n > 1 GROUP BY l, g, i // 2),
+subroots AS MATERIALIZED (SELECT g, h AS subroot, row_number() OVER (ORDER BY g) - 1 AS p FROM low WHERE n = 1),
+high(l, i, h, n) AS (SELECT 0, p, subroot, count(*) OVER () FROM subroots
+  UNION ALL SELECT l + 1, i // 2, sha256(string_agg(h, '' ORDER BY i)), any_value((n + 1) // 2) FROM high WHERE n > 1 GROUP BY l, i // 2),
+way(doc_id, g, p, l, i, h, x, s) AS (SELECT doc_id, g, p, 0, p, bad, 0, '' FROM placed
+  UNION ALL SELECT w.doc_id, w.g, w.p, w.l + 1, w.i // 2, CASE WHEN w.i % 2 = 0 THEN sha256(w.h || coalesce(o.h, '')) ELSE sha256(o.h || w.h) END,
+    0, w.s || coalesce(o.h, '') FROM way w JOIN low me ON me.l = w.l AND me.g = w.g AND me.i = w.i AND me.n > 1
+    LEFT JOIN low o ON o.l = w.l AND o.g = w.g AND o.i = xor(w.i, 1::BIGINT)),
+middle AS MATERIALIZED (SELECT w.*, r.subroot, r.p AS q FROM way w JOIN low me ON me.l = w.l AND me.g = w.g AND me.i = w.i AND me.n = 1
+  JOIN subroots r ON r.g = w.g),
+up(doc_id, g, p, subroot, l, i, h, s) AS (SELECT doc_id, g, p, subroot, 0, q, h, s FROM middle
+  UNION ALL SELECT w.doc_id, w.g, w.p, w.subroot, w.l + 1, w.i // 2,
+    CASE WHEN w.i % 2 = 0 THEN sha256(w.h || coalesce(o.h, '')) ELSE sha256(o.h || w.h) END, w.s || coalesce(o.h, '')
+  FROM up w JOIN high me ON me.l = w.l AND me.i = w.i AND me.n > 1 LEFT JOIN high o ON o.l = w.l AND o.i = xor(w.i, 1::BIGINT))
+SELECT u.doc_id, pl.leaf, u.subroot, r.h AS root, sha256(u.s) AS proof_sha256, u.h AS folded_root, u.h = r.h AS verified
+FROM up u JOIN high r ON r.n = 1 AND r.l = u.l JOIN placed pl ON pl.g = u.g AND pl.p = u.p""",
+    "op13_hard_negatives": r"""
+WITH once AS (SELECT vec_id, min(ROW(label, embedding)) AS r FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL
+  AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 GROUP BY vec_id),
+v AS MATERIALIZED (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (r[1] + 1) % 10 ELSE r[1] END AS label,
+  list_transform(r[2], lambda x: floor(256 * x::DOUBLE)::BIGINT) AS e FROM once),
+s AS MATERIALIZED (SELECT a.vec_id AS anchor_id, b.vec_id, a.label = b.label AS same,
+  list_sum(list_transform(range(1, least(len(a.e), len(b.e)) + 1), lambda i: a.e[i] * b.e[i]))::BIGINT AS score
+  FROM v a JOIN v b ON a.vec_id <> b.vec_id WHERE a.vec_id % 50 = 0),
+p AS (SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM s WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5)
+SELECT p.anchor_id, positive_id, CAST(row_number() OVER w AS INTEGER) AS rank, s.vec_id AS negative_id, positive_score, s.score AS negative_score
+FROM p JOIN s ON s.anchor_id = p.anchor_id AND NOT s.same AND 50 * positive_score <= 100 * s.score AND 100 * s.score <= 95 * positive_score
+WINDOW w AS (PARTITION BY p.anchor_id, positive_id ORDER BY s.score DESC, s.vec_id) QUALIFY row_number() OVER w <= 3""",
 }
 
 
