@@ -253,7 +253,7 @@ def test_reading_stops_early_on_separated_vectors():
     vectors_ = (rng.pareto(1.0, (20_000, 3)) * 100).astype(np.int64)
     block = negatives.Block(np.arange(20_000), np.zeros(20_000, np.int64), vectors_)
     block.prepare(np.float64)
-    entry, score = block.best(np.array([3, 2, 1]), [(-np.inf, np.inf)], 5, np.ones(20_000, bool))
+    entry, score = block.best(np.array([3, 2, 1]), [(-np.inf, np.inf)], 5, np.ones(len(block.labels), bool))
     assert len(entry) < 5_000
     best = np.sort(vectors_ @ np.array([3, 2, 1]))[::-1][:5]
     assert score[:5].tolist() == best.tolist()
