@@ -4,12 +4,14 @@ A text is cut at single spaces, where neither tokenizer ever joins anything, and
 each distinct piece is encoded once per task by the ``tokenizers`` library. A
 word with a tail of punctuation is two pre-tokens for both, so the two are
 looked up apart. Texts with a space after other white space, where a run of
-white space may be one token, are encoded as they are.
+white space may be one token, and texts that hold an added token of the file
+(a literal end marker) are encoded as they are.
 """
 
 from __future__ import annotations
 
 import os
+import re
 
 import numpy as np
 import pyarrow as pa
@@ -34,8 +36,10 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         vocab = self.tokenizer.get_vocab(with_added_tokens=False)
+        # a text that holds an added token, in any case the file may fold, is encoded whole
+        added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.whole = "|".join([RUN, *(f"(?i:{re.escape(t)})" for t in added)])
         size = max(vocab.values()) + 1
         self.word_ends = any(t.endswith("</w>") for t in vocab)  # lower case, white space dropped
         self.edge = np.zeros(size, bool)  # last id of a word, or first id after a space
@@ -99,7 +103,7 @@ class Encoder:
         return ids, np.cumsum(total) - total, total
 
     def _slice(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        whole = np.asarray(pc.match_substring_regex(texts, RUN).to_numpy(zero_copy_only=False), bool)
+        whole = np.asarray(pc.match_substring_regex(texts, self.whole).to_numpy(zero_copy_only=False), bool)
         if self.word_ends:
             texts = pc.replace_substring(texts, "\n", " ")
         pieces = pc.split_pattern(pc.if_else(pa.array(whole), "", texts), " ")
