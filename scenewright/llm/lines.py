@@ -6,19 +6,25 @@ fails the document-level base rules, is rejected.
 
 Line rules (a line without a word is neither good nor bad):
 
-* navigation: at least two separators (``|``, arrows, bullets), or symbols on at
-  least a fifth of its words;
+* navigation: at least two separators (``|``, arrows, bullets) and one to every six
+  words, or symbols on at least a fifth of its words;
 * punctuation: exclamation or question marks doubled on a third of its words, or
   (long lines) mostly capitals;
-* boilerplate: phrases of menus, cookie notices and legal footers;
+* boilerplate: phrases of menus, cookie notices and legal footers, one to every
+  twelve words;
 * repetition: a third of its words equal the word before, or the line is equal to
   an earlier line of the document.
 
 Windows are compared by a 64-bit hash of their eight words. Everything is per
 row: no shuffle, no Python.
 
+All rules but that of two separators are shares of the line, so a long article on
+one line is not lost for a phrase in it, and a menu of any length is.
+
 Defined cases: null, empty and blank texts have no words, fail the base rules
-and are rejected; other columns stay as they are, also when they share names
+and are rejected; very long texts are judged whole; repeated rows get the same
+verdict each; a share that is met exactly fails the line; an empty table stays
+empty; other columns stay as they are, also when they share names
 with the statistics (those are in one struct).
 """
 
@@ -36,6 +42,8 @@ WINDOW = 8
 MIN_WORDS, MAX_REPEAT_PERCENT = 20, 30
 #: A document goes if its failing lines hold more than this share of its word characters.
 MAX_LOST = 0.5
+#: A line fails with at least one separator, or one phrase, to so many words.
+WORDS_PER_SEPARATOR, WORDS_PER_PHRASE = 6, 12
 SEPARATOR = r"[|•»→]"
 SHOUT = r"(?:!!|\?\?|!\?)"
 BOILERPLATE = (r"(?i)\b(?:all rights reserved|terms of (?:use|service)|privacy policy|cookie (?:policy|settings)|"
@@ -84,8 +92,10 @@ def failing(line: Column) -> Column:
     n = F.greatest(F.size(F.split(F.btrim(line), GAP + "+")), F.lit(1))
     count = lambda pattern: F.regexp_count(line, F.lit(pattern))
     capitals = (F.length(line) >= 20) & (2 * count(r"\p{Lu}") > count(r"\p{L}"))
-    return ((count(SEPARATOR) >= 2) | (5 * count(SYMBOLS) >= n) | (3 * count(SHOUT) >= n) | capitals
-            | line.rlike(BOILERPLATE) | let(words_of(line), stutters))
+    menu = let(count(SEPARATOR), lambda c: (c >= 2) & (WORDS_PER_SEPARATOR * c >= n))
+    phrases = line.rlike(BOILERPLATE) & (WORDS_PER_PHRASE * count(BOILERPLATE) >= n)
+    return (menu | (5 * count(SYMBOLS) >= n) | (3 * count(SHOUT) >= n) | capitals
+            | phrases | let(words_of(line), stutters))
 
 
 def statistics(text: Column) -> Column:

@@ -172,10 +172,10 @@ line AS (SELECT DISTINCT doc_id, unnest(ls) AS l FROM w),
 parts AS (SELECT *, greatest(len(regexp_split_to_array(trim(l), '{lines.GAP}+')), 1) AS n,
   regexp_extract_all(l, '{lines.SOLID}+') AS lw FROM line),
 judged AS (SELECT doc_id, length(regexp_replace(l, '{lines.GAP}', '', 'g')) AS size,
-  len(regexp_extract_all(l, '{lines.SEPARATOR}')) >= 2 OR 5 * len(regexp_extract_all(l, '{lines.SYMBOLS}')) >= n
+  (len(regexp_extract_all(l, '{lines.SEPARATOR}')) >= 2 AND {lines.WORDS_PER_SEPARATOR} * len(regexp_extract_all(l, '{lines.SEPARATOR}')) >= n) OR 5 * len(regexp_extract_all(l, '{lines.SYMBOLS}')) >= n
   OR 3 * len(regexp_extract_all(l, '{lines.SHOUT}')) >= n
   OR (length(l) >= 20 AND 2 * len(regexp_extract_all(l, '\p{{Lu}}')) > len(regexp_extract_all(l, '\p{{L}}')))
-  OR regexp_matches(l, '{lines.BOILERPLATE}')
+  OR (regexp_matches(l, '{lines.BOILERPLATE}') AND {lines.WORDS_PER_PHRASE} * len(regexp_extract_all(l, '{lines.BOILERPLATE}')) >= n)
   OR 3 * len(list_filter(range(2, len(lw) + 1), lambda i: lw[i] = lw[i - 1])) >= len(lw) AS bad FROM parts),
 good AS (SELECT doc_id, sum(size) AS size FROM judged WHERE NOT bad GROUP BY 1),
 b AS (SELECT doc_id, len(ws) AS n_words, length(array_to_string(ws, '')) AS word_chars,

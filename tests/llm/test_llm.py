@@ -142,7 +142,6 @@ def plain_ids(name, text, end):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(tokenizer_file(name))
-    t.encode_special_tokens = True
     return t.encode(text or "", add_special_tokens=False).ids + [end]
 
 
