@@ -10,13 +10,19 @@ surrogate for the whole corpus, so mentions that belong together stay together:
 
 * digits become digits and letters become letters of the same case; separators,
   the country code, the top-level domain and the token's alphabet (hexadecimal)
-  stay, an address keeps four octets, a valid card number stays valid;
-* an IPv6 address becomes eight groups of four hexadecimal digits;
+  stay, an address keeps four octets, valid card numbers and bank accounts stay
+  valid; secrets are taken as they are written, capitals and all;
+* an IPv6 address, in whichever spelling, becomes eight groups of four hexadecimal
+  digits;
 * a name keeps its title; the given name is drawn from names of the title's
   gender in the script of the original, the family name is made of syllables of
   that script. The family name is an entity of its own, so it has one surrogate
   in all forms of a name and for all who bear it.
 
+A family name that was found with a title but without a given name, and is a month
+or a day or also stands in lower case in the text, is not taken for the name where
+it has no title.
+
 Not found: names that have no title in their text, given names that stand alone,
 third words of a name, and phone numbers without any separator or country code.
 Numbers of one phone with and without its country code are two entities.
@@ -26,11 +32,12 @@ original of its type, or that a smaller entity has already, is drawn anew with
 the next attempt number, until none is left. The draw is SHA-512 of key, type,
 attempt and value, so it is repeatable and needs the key to be guessed.
 
-Texts without an entity pass by untouched and are never shuffled. Mentions are
+Every text is searched once; rows and what was found in them are a table in the
+shared folder. Texts without an entity pass by untouched and are never shuffled. Mentions are
 grouped by the text they are in, so copies share their work.
 
-Defined cases: null and empty texts and null ids stay as they are; repeated rows
-get equal texts; all other columns stay, whatever their names; an empty table
+Defined cases: null and empty texts and null ids stay as they are; very long texts
+are searched whole; repeated rows get equal texts; all other columns stay, whatever their names; an empty table
 stays empty.
 """
 
@@ -54,7 +61,7 @@ IP6 = (rf"(?<![0-9A-Za-z:.])(?=[A-Fa-f:]*[0-9])(?:(?:{HEX}:){{7}}{HEX}|(?:{HEX}:
 #: With a country code in three groups or in up to six; area code and number; trunk zero; pairs after a trunk zero.
 PHONE = (r"(?<![0-9+])(?:\+[0-9]{1,3}[ .-]?\(?[0-9]{2,4}\)?[ .-]?[0-9]{3,4}[ .-]?[0-9]{3,4}|"
          r"\+(?=(?:[ .()-]{0,2}[0-9]){8})[0-9]{1,3}(?:[ .-]?\(?[0-9]{1,4}\)?){2,6}|"
-         r"(?<![0-9][ .-])(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![ .-][0-9])|"
+         r"(?<![0-9][ .-])(?:\([2-9][0-9]{2}\) ?|[2-9][0-9]{2}[ .-])[0-9]{3}[ .-][0-9]{4}(?![ .-][0-9])|"
          r"(?<![0-9][ .-])0[1-9](?:[ .-][0-9]{2}){4}(?![ .-][0-9])|"
          r"(?<![0-9][ .-])(?:\(0[1-9][0-9]{1,4}\) ?|0[1-9][0-9]{1,4}[ /.-])[0-9]{3,4}(?:[ .-]?[0-9]{2,4}){1,2})(?![0-9])")
 CARD = r"(?<![0-9])(?:[0-9]{13,19}|[0-9]{4}(?:[ -][0-9]{4}){3}|[0-9]{4}[ -][0-9]{6}[ -][0-9]{4,5})(?![0-9])"
@@ -71,6 +78,11 @@ TYPES = {"email": EMAIL, "ip": IP, "ip6": IP6, "secret": SECRET, "phone": PHONE,
 PATTERN = "|".join(f"(?:{p})" for p in TYPES.values())
 #: Cheap test that every text with an entity passes.
 HINT = rf"[0-9@]|[0-9a-fA-F]{{32}}|{WOMAN}|{MAN}|{ANY}|=\s?[\"']|:\s?[\"']"
+#: Country codes of telephone numbers.
+CODE = r"^\+(?:1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|[2-9][0-9]{2})"
+#: Surnames that are also a month or a day; alone and without a title they are taken for those.
+CALENDAR = ("January February March April May June July August September October November December Monday Tuesday Wednesday "
+            "Thursday Friday Saturday Sunday").split()
 # Given names by script and gender, syllables by script.
 GIVEN = {
     ("latin", "w"): "Anna Clara Edith Fiona Greta Helen Irene Julia Karla Laura Maria Nora Olga Paula Rosa Sofia",
@@ -93,9 +105,31 @@ def kind_of(entity: Column) -> Column:
 
 
 def canonical(kind: Column, entity: Column) -> Column:
-    return (F.when(kind.isin("phone", "card", "ssn"), F.regexp_replace(entity, "[^0-9]", ""))
+    return (F.when(kind.isin("card", "ssn"), F.regexp_replace(entity, "[^0-9]", ""))
+            .when(kind == "phone", F.regexp_replace(entity, r"[^0-9+]", ""))
             .when(kind.isin("name", "family"), F.regexp_replace(entity, TITLE, ""))
-            .when(kind == "iban", F.regexp_replace(entity, " ", "")).otherwise(F.lower(entity)))
+            .when(kind == "iban", F.regexp_replace(entity, " ", ""))
+            .when(kind == "ip6", _groups(F.lower(entity)))
+            .when(kind == "secret", entity).otherwise(F.lower(entity)))
+
+
+def _groups(address: Column) -> Column:
+    """All eight groups of an IPv6 address, four digits each."""
+    def padded(part: Column) -> Column:
+        return F.transform(F.filter(F.split(part, ":"), lambda g: g != ""), lambda g: F.lpad(g, 4, "0"))
+
+    def filled(sides: Column) -> Column:
+        left, right = padded(sides[0]), padded(F.coalesce(F.get(sides, F.lit(1)), F.lit("")))
+        return F.array_join(F.concat(left, F.array_repeat(F.lit("0000"), 8 - F.size(left) - F.size(right)), right), ":")
+
+    return let(F.split(address, "::"), filled)
+
+
+def _mod97(account: Column) -> Column:
+    """Remainder of a bank account number, its first four characters at the end and letters as numbers."""
+    turned = F.concat(F.substring(account, F.lit(5), F.length(account)), F.substring(account, 1, 4))
+    return F.aggregate(F.split(turned, ""), F.lit(0), lambda n, c: F.when(
+        c.rlike("[0-9]"), (n * 10 + c.try_cast("int")) % 97).otherwise((n * 100 + F.ascii(c) - 55) % 97))
 
 
 def _draw(seed: Column, length: Column) -> Column:
@@ -117,6 +151,7 @@ def _chars(value: Column, drawn: Column, hexadecimal: Column) -> Column:
         n = F.get(drawn, i)
         return (F.when(c.rlike("[0-9]"), _pick("0123456789", n))
                 .when(hexadecimal & c.rlike("[a-f]"), _pick("abcdef", n))
+                .when(hexadecimal & c.rlike("[A-F]"), _pick("ABCDEF", n))
                 .when(c.rlike("[a-z]"), _pick("abcdefghijklmnopqrstuvwxyz", n))
                 .when(c.rlike("[A-Z]"), _pick("ABCDEFGHIJKLMNOPQRSTUVWXYZ", n)).otherwise(c))
     return F.array_join(F.transform(F.split(value, ""), one), "")
@@ -156,7 +191,7 @@ def surrogate(kind: Column, value: Column, gender: Column, family: Column, attem
     length = F.length(value) + F.lit(16) + attempt
 
     def body(drawn: Column) -> Column:
-        hexadecimal = (kind == "secret") & value.rlike("^[0-9a-f]+$")
+        hexadecimal = (kind == "secret") & value.rlike("^(?:[0-9a-f]+|[0-9A-F]+)$")
         plain = _chars(value, drawn, hexadecimal)
         octets = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(3)), lambda i: (
             F.get(drawn, i) % 254 + 1).cast("string")), ".")
@@ -167,8 +202,14 @@ def surrogate(kind: Column, value: Column, gender: Column, family: Column, attem
         body_digits = F.substring(plain, F.lit(1), F.length(value) - 1)
         check = let(body_digits, lambda d: F.concat(d, ((10 - _luhn(F.concat(d, F.lit("0")))) % 10).cast("string")))
         card = F.when(_luhn(value) == 0, check).otherwise(plain)
-        phone = F.concat(F.substring(value, 1, 1), F.substring(plain, F.lit(2), F.length(value)))
-        bank = F.concat(F.substring(value, 1, 2), F.substring(plain, F.lit(3), F.length(value)))
+        kept = F.when(value.startswith("+"), F.greatest(F.length(F.regexp_extract(value, CODE, 0)), F.lit(1))).otherwise(1)
+        phone = F.concat(F.substring(value, F.lit(1), kept), F.substring(plain, kept + 1, F.length(value)))
+        own = F.concat(F.substring(value, 1, 2), F.substring(plain, F.lit(3), F.length(value)))
+        # an account that is valid stays valid
+        zero = F.concat(F.substring(value, 1, 2), F.lit("00"), F.substring(plain, F.lit(5), F.length(value)))
+        valid = let(zero, lambda z: F.concat(F.substring(z, 1, 2), F.lpad((98 - _mod97(z)).cast("string"), 2, "0"),
+                                             F.substring(z, F.lit(5), F.length(z))))
+        bank = F.when(_mod97(value) == 1, valid).otherwise(own)
         return (F.when(kind == "email", mail).when(kind == "ip", octets).when(kind == "ip6", groups).when(kind == "card", card)
                 .when(kind == "phone", phone).when(kind == "iban", bank)
                 .when(kind.isin("name", "family"), _name(value, drawn, attempt, gender, family)).otherwise(plain))
@@ -180,14 +221,15 @@ def fitted(kind: Column, entity: Column, value: Column, replacement: Column) ->
     def spaced(own: str) -> Column:
         def one(c: Column, i: Column) -> Column:
             nth = F.length(F.regexp_replace(F.substring(entity, F.lit(1), i + 1), f"[^{own}]", ""))
-            return F.when(c.rlike(f"[{own}]"), F.substring(replacement, nth, F.lit(1))).otherwise(c)
+            return F.when(c.rlike(f"[{own}]"), F.substring(signs, nth, F.lit(1))).otherwise(c)
+        signs = F.regexp_replace(replacement, f"[^{own}]", "")
         return F.array_join(F.transform(F.split(entity, ""), one), "")
 
     title = F.substring(entity, F.lit(1), F.length(entity) - F.length(value))
     upper = F.when((entity == F.upper(entity)) & (entity != F.lower(entity)), F.upper(replacement)).otherwise(replacement)
     return (F.when(kind.isin("phone", "card", "ssn"), spaced("0-9"))
             .when(kind.isin("name", "family"), F.concat(title, replacement)).when(kind == "iban", spaced("0-9A-Z"))
-            .otherwise(upper))
+            .when(kind == "secret", replacement).otherwise(upper))
 
 
 def assign(entities: DataFrame, key: str) -> DataFrame:
@@ -225,22 +267,35 @@ def assign_all(entities: DataFrame, key: str) -> DataFrame:
     return given.unionByName(assign(stored(rest.unionByName(names), "entities"), key))
 
 
-def names_in(found: Column) -> Column:
-    """Names after a title among the found entities, and their family names; longer ones before their beginnings."""
+def names_in(found: Column, body: Column) -> Column:
+    """Names after a title among the found entities, and their family names; longer ones before their beginnings.
+
+    A family name that was only found alone, and is a month or a day or a word
+    of the text in lower case, is not looked for without its title.
+    """
     whole = F.transform(F.filter(found, lambda e: e.rlike(f"^(?:{NAME})$")), lambda e: F.regexp_replace(e, TITLE, ""))
-    return F.coalesce(let(whole, lambda w: F.sort_array(F.array_union(w, F.transform(w, family_of)), asc=False)),
-                      F.array().cast("array<string>"))
+
+    def sought(w: Column) -> Column:
+        full = F.filter(w, lambda n: n.contains(" "))
+        alone = F.filter(w, lambda n: ~n.contains(" ") & ~n.isin(CALENDAR) & ~F.rlike(
+            body, F.concat(F.lit(r"(?<!\p{L})"), F.lower(n), F.lit(r"(?!\p{L})"))))
+        return F.sort_array(F.array_distinct(F.concat(full, alone, F.transform(full, family_of))), asc=False)
+
+    return F.coalesce(let(whole, sought), F.array().cast("array<string>"))
 
 
 def replace_entities(docs: DataFrame, key: str = KEY, text: str = "text", count: str | None = None) -> DataFrame:
     """The same table with entities replaced; ``count`` names a column for their number, if wanted."""
-    body, held, mark, names, pattern = F.col(f"`{text}`"), "_entities", "_text_key", "_names", "_pattern"
-    columns = [F.col(f"`{c}`") for c in docs.columns]
-    found = F.when(body.rlike(HINT), F.regexp_extract_all(body, F.lit(PATTERN), F.lit(0)))
-    some = F.coalesce(F.size(found) > 0, F.lit(False))
-    plain = docs.where(~some)
+    held, mark, names, pattern = "_entities", "_text_key", "_names", "_pattern"
+    own = F.col(f"`{text}`")
+    found = F.when(own.rlike(HINT), F.regexp_extract_all(own, F.lit(PATTERN), F.lit(0)))
+    # the patterns run once over every text; what they find is kept beside the rows
+    work = stored(docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), found.alias(held)), "pii-found")
+    body, columns = F.col("row").getField(text), [F.col("row").getField(c).alias(c) for c in docs.columns]
+    some = F.coalesce(F.size(held) > 0, F.lit(False))
+    plain = work.where(~some)
     named = F.size(names) > 0
-    hit = (docs.where(some).withColumn(mark, F.md5(body)).withColumn(held, found).withColumn(names, names_in(F.col(held)))
+    hit = (work.where(some).withColumn(mark, F.md5(body)).withColumn(names, names_in(F.col(held), body))
            .withColumn(pattern, F.when(named, F.concat(
                F.lit(PATTERN + r"|(?<!\p{L})(?:"), F.array_join(names, "|"), F.lit(r")(?!\p{L})"))).otherwise(PATTERN))
            .withColumn(held, F.when(named, F.regexp_extract_all(body, F.col(pattern), F.lit(0))).otherwise(F.col(held))))
@@ -263,7 +318,7 @@ def replace_entities(docs: DataFrame, key: str = KEY, text: str = "text", count:
         a, F.coalesce(b, F.lit(""))))))
     changed = hit.join(ready, mark)
     number = F.size("_replacements").cast("long")
-    out = [rewritten.alias(c) if c == text else F.col(f"`{c}`") for c in docs.columns]
+    out = [rewritten.alias(c) if c == text else x for c, x in zip(docs.columns, columns)]
     if count is None:
         return plain.select(*columns).unionByName(changed.select(*out))
     return (plain.select(*columns, F.lit(0).cast("long").alias(count))
