@@ -22,7 +22,7 @@ from scenewright.plans.platformer_sql import BASE
 from scenewright.plans.platformer_sql import captions as platformer_captions
 from scenewright.sources import levels as LV
 from scenewright.session import scratch_folder
-from scenewright.sources import sinks
+from scenewright.sources import json_arrays, sinks
 
 PIPES = "<>[]"
 BAND = 16
@@ -175,6 +175,23 @@ def written(spark: SparkSession, sf_dir: str) -> DataFrame:
     return X.scenes(spark, sf_dir).select("scene_id", sinks.ascii_text(F.col("rows"), last_rows=15).alias("text"))
 
 
+def _through_arrays(spark: SparkSession, df: DataFrame) -> DataFrame:
+    """The same rows, written as JSON arrays and read back in ranges."""
+    folder = f"{scratch_folder(spark, 'arrays')}/table"
+    json_arrays.write_arrays(df, folder)
+    return json_arrays.read_array(spark, folder, df.schema)
+
+
+def sample_arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pairs = X.pairs(spark, sf_dir).select("sample_id", "prompt", F.col("generated").alias("caption"))
+    return _through_arrays(spark, pairs)
+
+
+def document_arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _through_arrays(spark, X.table(spark, sf_dir, "documents").select("doc_id", "text", "n_chars"))
+    return docs.select("doc_id", F.md5("text").alias("digest"), "n_chars")
+
+
 def sample_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     pairs = X.pairs(spark, sf_dir)
     return pairs.select("sample_id", F.to_json(F.struct("prompt", F.col("generated").alias("caption"))).alias("line"))
@@ -314,6 +331,8 @@ QUERIES = {
 WITH c AS (SELECT DISTINCT lang, unnest(string_split(text, '')) AS ch FROM documents)
 SELECT lang, ch, CAST(row_number() OVER (PARTITION BY lang ORDER BY encode(ch)) - 1 AS INT) AS tile FROM c"""),
     "a03_level_lines": (level_lines, LV_SQL + "SELECT doc_id, band, h AS height, w AS width FROM lw"),
+    "a04_sample_arrays": (sample_arrays, PAIRS + "SELECT sample_id, prompt, generated AS caption FROM fx_pairs"),
+    "a04_document_arrays": (document_arrays, "SELECT doc_id, md5(text) AS digest, n_chars FROM documents"),
     "a05_jsonl_records": (log_lines, """
 SELECT event_id, CAST(json_extract(props, '$.k') AS INT) AS k FROM events"""),
     "a08_sample_lines": (sample_lines, PAIRS + """
