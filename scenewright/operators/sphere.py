@@ -24,6 +24,8 @@ from scenewright.session import cut_lineage
 
 MOST_CENTRES = 1024
 PART_ROWS, QUERY_ROWS = 4096, 16384
+#: Tables of up to so many rows are compared whole, dealt by query over so many tasks.
+SMALL_ROWS, SMALL_PARTS = 8192, 8
 #: Matrices of cosines are computed for so many queries at a time.
 CHUNK = 1024
 FOUND = "id bigint, neighbour bigint, cosine double"
@@ -98,8 +100,15 @@ def nearest_by_angle(vectors: DataFrame, k: int, digits: int = 6) -> tuple[DataF
     Vectors of length zero have no direction: they have and are no neighbours.
     """
     directed = F.exists("vector", lambda x: x != 0)
-    vectors = cut_lineage(vectors.select(F.col("id").cast("bigint").alias("id"), "vector").where(directed))
+    vectors = vectors.select(F.col("id").cast("bigint").alias("id"), "vector").where(directed)
     n = vectors.count()
+    if 0 < n <= SMALL_ROWS:
+        part, every = F.pmod(F.xxhash64("id"), F.lit(SMALL_PARTS)).cast("int"), F.explode(F.sequence(F.lit(0), F.lit(SMALL_PARTS - 1)))
+        asking, rows = vectors.withColumn("part", part), vectors.withColumn("part", every)
+        found = rows.groupBy("part").cogroup(asking.groupBy("part")).applyInPandas(
+            lambda here, own: _best(own, here, k, digits), FOUND)
+        return _ranked(found, k, digits), n * (n - 1), n * (n - 1)
+    vectors = cut_lineage(vectors)
     if not n:
         empty = vectors.select("id", F.lit(0).alias("rank"), F.col("id").alias("neighbour"), F.lit(0.0).alias("cosine"))
         return empty, 0, 0
@@ -131,7 +140,10 @@ def nearest_by_angle(vectors: DataFrame, k: int, digits: int = 6) -> tuple[DataF
     right = deal(sent, (F.pmod(F.xxhash64("id"), "shares") + 1).cast("int"))
     across = left.groupBy("part", "share").cogroup(right.groupBy("part", "share")).applyInPandas(
         lambda here, asking: _best(asking, here, k, digits), FOUND)
+    return _ranked(inside.unionByName(across), k, digits), work, n * (n - 1)
+
+
+def _ranked(found: DataFrame, k: int, digits: int) -> DataFrame:
     order = W.partitionBy("id").orderBy(F.desc("cosine"), "neighbour")
-    ranked = inside.unionByName(across).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
-    out = ranked.select("id", "rank", "neighbour", F.round(F.col("cosine") + 0.0, digits).alias("cosine"))
-    return out, work, n * (n - 1)
+    ranked = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    return ranked.select("id", "rank", "neighbour", F.round(F.col("cosine") + 0.0, digits).alias("cosine"))

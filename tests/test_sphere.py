@@ -36,6 +36,7 @@ def found(spark, rows, k):
 
 @pytest.mark.parametrize("small", [False, True])
 def test_equal_to_all_pairs(spark, monkeypatch, small):
+    monkeypatch.setattr(sphere, "SMALL_ROWS", 0)
     if small:  # several parts in a cluster, several shares of the queries
         monkeypatch.setattr(sphere, "PART_ROWS", 30)
         monkeypatch.setattr(sphere, "QUERY_ROWS", 50)
@@ -47,13 +48,19 @@ def test_equal_to_all_pairs(spark, monkeypatch, small):
     assert got == plain(rows, 5)
 
 
-def test_clusters_are_ruled_out(spark):
+def test_clusters_are_ruled_out(spark, monkeypatch):
+    monkeypatch.setattr(sphere, "SMALL_ROWS", 0)
     rows = rows_of(clustered(2, 1500, 8, 40, 0.02))
     got, share = found(spark, rows, 3)
     assert got == plain(rows, 3)
     assert share < 0.2
 
 
+def test_small_tables_are_compared_whole(spark):
+    rows = rows_of(clustered(3, 200, 5, 4, 0.1)) + rows_of([[1.0] * 5] * 20, 900)
+    assert found(spark, rows, 4) == (plain(rows, 4), 1.0)
+
+
 def test_few_vectors(spark):
     assert found(spark, [], 3)[0] == []
     assert found(spark, [(7, [1.0, 0.0])], 3)[0] == []
