@@ -2,48 +2,47 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-SAMPLE_PER_BUCKET = 20
+from scenewright.session import cut_lineage
 
+#: Rows of a range; there are as many ranges as that takes.
+RANGE_ROWS = 1_000_000
+#: monotonically_increasing_id is the partition, shifted by this, and the row in it.
+ROW_BITS = 33
 
-def global_rank(df: DataFrame, keys: list[str], name: str = "rank", buckets: int | None = None
+
+def ranged(df: DataFrame, keys: list[str], ranges: int | None = None) -> DataFrame:
+    """The rows in ranges of the keys, with ``_range_row``: the range, shifted by ``ROW_BITS``, and the row in it.
+
+    Spark samples the limits of the ranges. Written once, so that every later
+    pass sees the same ranges.
+    """
+    if ranges is None:
+        ranges = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-df.count() // RANGE_ROWS))
+    placed = df.repartitionByRange(ranges, *keys).sortWithinPartitions(*keys)
+    return cut_lineage(placed.withColumn("_range_row", F.monotonically_increasing_id()))
+
+
+def global_rank(df: DataFrame, keys: list[str], name: str = "rank", ranges: int | None = None
                 ) -> DataFrame:
     """Add the 0-based position of each row in the order of ``keys``.
 
-    ``keys`` must identify rows. A bounded sample of the keys gives range
-    limits, rows are numbered inside their range, and the sizes of the earlier
-    ranges are added. Any limits give the same numbers; ranges that split on the
-    whole key keep one frequent leading value from filling a single range.
+    ``keys`` must identify rows. Rows are exchanged once into ranges of the
+    whole key, so that one frequent leading value does not fill a range, and
+    sorted there; the sizes of the earlier ranges, a row each, are added.
     """
-    spark = df.sparkSession
-    buckets = buckets or max(2, min(256, int(spark.conf.get("spark.sql.shuffle.partitions"))))
-    key = F.struct(*[F.col(k) for k in keys])
-    sampled = (
-        df.select(key.alias("k")).orderBy(F.xxhash64("k")).limit(buckets * SAMPLE_PER_BUCKET)
-        .orderBy("k").collect()
-    )
-    limits = [row["k"] for row in sampled[SAMPLE_PER_BUCKET::SAMPLE_PER_BUCKET]]
-
-    def limit(values) -> Column:
-        fields = df.select(*keys).schema.fields
-        return F.struct(*[F.lit(v).cast(f.dataType).alias(f.name)
-                          for v, f in zip(values, fields)])
-
-    bucket = F.lit(0)
-    if limits:
-        bounds = F.array(*[limit(v) for v in limits])
-        bucket = F.size(F.filter(bounds, lambda b: b <= key))
-    placed = df.withColumn("_bucket", bucket)
-    sizes = placed.groupBy("_bucket").agg(F.count("*").alias("_n"))  # at most `buckets` rows
-    before = sizes.select("_bucket", F.coalesce(F.sum("_n").over(
-        W.orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
-    within = F.row_number().over(W.partitionBy("_bucket").orderBy(*keys)) - 1
+    placed = ranged(df, keys, ranges)
+    range_ = F.shiftright("_range_row", ROW_BITS)
+    sizes = placed.groupBy(range_.alias("_range")).agg(F.count("*").alias("_n"))
+    before = sizes.select("_range", F.coalesce(F.sum("_n").over(
+        W.orderBy("_range").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    within = F.col("_range_row").bitwiseAND(F.lit((1 << ROW_BITS) - 1))
     return (
-        placed.withColumn("_within", within).join(F.broadcast(before), "_bucket")
-        .withColumn(name, F.col("_within") + F.col("_before")).drop("_bucket", "_within", "_before")
+        placed.withColumn("_range", range_).join(F.broadcast(before), "_range")
+        .withColumn(name, within + F.col("_before")).drop("_range", "_range_row", "_before")
     )
 
 
@@ -55,10 +54,10 @@ def group_rank(df: DataFrame, by: list[str], order: list[str], name: str = "pos"
     """
     from scenewright.operators.joins import lookup_join
 
-    ranked = global_rank(df, [*by, *order], "_at")
-    starts = ranked.groupBy(*by).agg(F.min("_at").alias("_start"))
+    ranked = global_rank(df, [*by, *order], "_pos")
+    starts = ranked.groupBy(*by).agg(F.min("_pos").alias("_start"))
     return lookup_join(ranked, starts, by).withColumn(
-        name, F.col("_at") - F.col("_start")).drop("_at", "_start")
+        name, F.col("_pos") - F.col("_start")).drop("_pos", "_start")
 
 
 def group_quantiles(df: DataFrame, by: list[str], value: str, tie: list[str],
