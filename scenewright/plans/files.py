@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from scenewright import fixtures as X
 from scenewright.operators import runs as R
 from scenewright.session import scratch_folder
+from scenewright.sources import samples as S
 from scenewright.sources import tree as T
 from scenewright.sources.growing import growing_records
 from scenewright.streaming import jobs as J
@@ -134,6 +135,32 @@ def input_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.count_if(F.col("status") == "incomplete").alias("incomplete"))
 
 
+def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Samples of all runs, an array per file."""
+    _, _, root = _listed(spark, sf_dir)
+    return S.read_samples(spark, f"{root}/*/samples/samples.json").select("prompt", F.col("scene")[0][0].alias("cell"))
+
+
+def mixed_formats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Logs (JSON lines) and samples (arrays) by one reader, told apart by their content."""
+    _, _, root = _listed(spark, sf_dir)
+    rows = S.read_json_or_jsonl(spark, f"{root}/*/{{training_log.jsonl,samples/samples.json}}")
+    return rows.select("epoch", "cents", "prompt", F.col("scene")[0][0].alias("cell"))
+
+
+def numbered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records whose key holds the caption's number, between lines of another kind."""
+    root = scratch_folder(spark, "numbered")
+    record = F.format_string('{"Caption %d": "%s", "score": %d, "note": "none"}', "event_id", "run", "cents")
+    lines = F.array_sort(F.collect_list(F.struct("event_id", record.alias("line"))))["line"]
+    text = F.concat(F.lit('{"settings": "none"}\n\nno record\n'), _text(lines))
+    T.write_tree(_events(spark, sf_dir).groupBy("run").agg(text.alias("content")).select(
+        F.concat(F.lit(f"{root}/"), "run", F.lit(".jsonl")).alias("path"), "content"))
+    return S.read_numbered(spark, root).select(
+        "number", "caption", F.col("scores")["score"].cast("bigint").alias("score"),
+        F.col("scores")["note"].isNull().alias("note_is_null"))
+
+
 def tailed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Logs are read when they are half there, cut within a line, and again when they have grown to the end."""
     at = scratch_folder(spark, "growing")
@@ -164,7 +191,13 @@ f AS (SELECT *, 2 + entry_bytes + 2 * greatest(n_entries - 1, 0) AS sample_bytes
 """
 STATUS = """, r AS (SELECT *, CASE u % 10 WHEN 0 THEN 'missing' WHEN 1 THEN 'unreadable' WHEN 2 THEN 'incomplete' ELSE 'read' END AS status FROM f)
 """
+SAMPLE = """SELECT {0}CASE WHEN user_id % 7 <> 3 THEN '[, ] ' || event_id END AS prompt, event_id::INT AS cell
+FROM l WHERE user_id % 5 <> 0 AND (user_id % 9 <> 4 OR i > 1)"""
 QUERIES = {
+    "a04_read_samples": (samples, RUN + SAMPLE.format("")),
+    "a05_numbered_records": (numbered, RUN + "SELECT event_id::INT AS number, run AS caption, cents AS score, true AS note_is_null FROM e"),
+    "a06_mixed_formats": (mixed_formats, RUN + SAMPLE.format("NULL::BIGINT AS epoch, NULL::BIGINT AS cents, ").replace(
+        "event_id::INT", "event_id") + " UNION ALL SELECT event_id, cents, NULL, NULL FROM l"),
     "a07_listed_runs": (listed_runs, RUN + r"""SELECT run AS name, CASE kind_of WHEN 'signup' THEN 'fdm' WHEN 'error' THEN 'wgan' ELSE 'conditional' END AS kind,
   u::INT AS run, regexp_replace(run, '[0-9]+$', '') AS "group", CASE WHEN kind_of = 'view' THEN 'absence' ELSE 'regular' END AS style,
   1 + (u % 10 <> 0)::BIGINT + (u % 5 <> 0)::BIGINT AS files, (u % 5 <> 0)::BIGINT + (u % 2 = 0)::BIGINT AS folders,
