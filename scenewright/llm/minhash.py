@@ -2,7 +2,9 @@
 
 1. Every text becomes its set of distinct word shingles. Documents with equal
    sets (compared on 128 bits) form a class, so exact copies, however many, are
-   one row from here on; the class is its smallest doc_id.
+   one row from here on; the class is its smallest doc_id. Copies in one slice of
+   texts are one row already there, so a class of a third of all documents does not
+   fill one task of the joins by class.
 2. ``HASHES`` minima per class; ``ROWS`` of them make a band key. Of each
    minimum only ``BITS`` low bits are kept, packed as bit planes of 64-bit
    words. Codes of two sets with similarity s differ with probability
@@ -105,17 +107,22 @@ def _sign(batches, k):
     for batch in batches:
         ids = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
         for a, sets in shingle_sets(batch.column(1), k):
+            keys = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets]
+            copies: dict = {}  # copies that stand in one slice are one row
+            for i, key in enumerate(keys):
+                copies.setdefault(key, []).append(i)
+            docs = [ids[a : a + len(sets)][rows] for rows in copies.values()]
+            sets = [sets[rows[0]] for rows in copies.values()]
             n = np.array([len(s) for s in sets], np.int64)
             full = np.flatnonzero(n)
-            keys = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets]
             planes, bands = np.zeros((len(sets), BITS * PLANE), np.int64), np.zeros((len(sets), BANDS), np.int64)
             if len(full):
                 planes[full], bands[full] = signatures([sets[i] for i in full.tolist()])
             yield pa.RecordBatch.from_arrays(
-                [pa.array(ids[a : a + len(sets)]), pa.array(n), pa.array(keys, pa.binary()),
+                [pa.array(docs, pa.list_(pa.int64())), pa.array(n), pa.array(list(copies), pa.binary()),
                  pa.FixedSizeListArray.from_arrays(pa.array(planes.ravel()), BITS * PLANE).cast(pa.list_(pa.int64())),
                  pa.FixedSizeListArray.from_arrays(pa.array(bands.ravel()), BANDS).cast(pa.list_(pa.int64()))],
-                ["doc_id", "n_shingles", "set_key", "planes", "bands"])
+                ["docs", "n_shingles", "set_key", "planes", "bands"])
 
 
 def most_differing(percent: int) -> int:
@@ -315,10 +322,10 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     limit = most_differing(percent)
     signed = stored(docs.mapInArrow(
         lambda batches: _sign(batches, k),
-        "doc_id long, n_shingles long, set_key binary, planes array<long>, bands array<long>"), "signatures")
+        "docs array<long>, n_shingles long, set_key binary, planes array<long>, bands array<long>"), "signatures")
     full = signed.where(F.col("set_key").isNotNull())
-    classes = full.groupBy("set_key").agg(F.min("doc_id").alias("node"))
-    heads = (full.join(classes, "set_key").where("doc_id = node").dropDuplicates(["node"])
+    classes = full.groupBy("set_key").agg(F.min(F.array_min("docs")).alias("node"))
+    heads = (full.join(classes, "set_key").where(F.array_min("docs") == F.col("node")).dropDuplicates(["node"])
              .select("node", "set_key", "planes", "bands"))
     heads = stored(heads, "heads")
     exploded = heads.select("node", F.explode("bands").alias("band"))
@@ -343,6 +350,9 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     comp = components(tested.where("linked").select("a", "b").unionByName(more))
     label = (classes.join(comp, "node", "left")
              .select("set_key", F.coalesce("component", "node").alias("component_id")))
-    return (signed.select("doc_id", "n_shingles", "set_key").join(label, "set_key", "left")
-            .select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    # the joins above and this one meet one row per class and slice of texts, not one per copy; empty sets meet none
+    named = full.select("docs", "n_shingles", "set_key").join(label, "set_key").drop("set_key").unionByName(
+        signed.where(F.col("set_key").isNull()).select("docs", "n_shingles", F.lit(None).cast("long").alias("component_id")))
+    return (named.select(F.explode("docs").alias("doc_id"), "n_shingles", "component_id")
+            .withColumn("component_id", F.coalesce("component_id", "doc_id"))
             .withColumn("kept", F.col("doc_id") == F.col("component_id")))
