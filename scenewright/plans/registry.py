@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["grids", "platformer", "other_games", "captions", "metrics", "runs", "streams", "files"]
+MODULES = ["grids", "platformer", "other_games", "captions", "metrics", "runs", "streams", "files", "sketches"]
 
 
 def registered() -> dict[str, tuple]:
