@@ -326,10 +326,28 @@ TILE_VECTORS = """WITH parts AS (SELECT label, unnest(embedding)::DOUBLE AS v, g
 means AS (SELECT label, i, avg(v) AS v FROM parts GROUP BY label, i),
 tiles AS (SELECT row_number() OVER (ORDER BY label) - 1 AS tile, list(v ORDER BY i) AS e FROM means GROUP BY label)"""
 
+PAD = "\u2591"
+
+
+def padded_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A tile set file of all characters of the documents, written and read back with a padding tile."""
+    at = f"{scratch_folder(spark, 'tileset')}/set"
+    chars = X.table(spark, sf_dir, "documents").select("lang", F.explode(F.split("text", "")).alias("ch")).where("ch <> ''")
+    tiles = chars.groupBy("ch").agg(F.array_sort(F.collect_set("lang")).alias("langs"))
+    named = F.map_from_entries(F.collect_list(F.struct("ch", "langs")))
+    tiles.agg(F.to_json(F.struct(named.alias("tiles"))).alias("value")).write.text(at)
+    return LV.read_tileset(spark, at, extra_tile=PAD).select("tile", "ch", F.size("descriptors").alias("langs"))
+
+
 QUERIES = {
     "a01_tile_ids": (tile_ids, """
 WITH c AS (SELECT DISTINCT lang, unnest(string_split(text, '')) AS ch FROM documents)
 SELECT lang, ch, CAST(row_number() OVER (PARTITION BY lang ORDER BY encode(ch)) - 1 AS INT) AS tile FROM c"""),
+    "a02_padded_tiles": (padded_tiles, f"""
+WITH c AS (SELECT lang, unnest(string_split(text, '')) AS ch FROM documents),
+t AS (SELECT ch, count(DISTINCT lang) AS langs, 0 AS pad FROM c WHERE ch <> '' GROUP BY ch),
+p AS (SELECT * FROM t UNION ALL SELECT '{PAD}', 0, 1 WHERE NOT EXISTS (SELECT 1 FROM t WHERE ch = '{PAD}'))
+SELECT CAST(row_number() OVER (ORDER BY pad, encode(ch)) - 1 AS INT) AS tile, ch, CAST(langs AS INT) AS langs FROM p"""),
     "a03_level_lines": (level_lines, LV_SQL + "SELECT doc_id, band, h AS height, w AS width FROM lw"),
     "a04_sample_arrays": (sample_arrays, PAIRS + "SELECT sample_id, prompt, generated AS caption FROM fx_pairs"),
     "a04_document_arrays": (document_arrays, "SELECT doc_id, md5(text) AS digest, n_chars FROM documents"),
