@@ -277,7 +277,7 @@ def read_segment(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def _write(batches, path, end_id):
-    encoder, first = tokens.Encoder(path), 0
+    encoder, first = tokens.encoder(path), 0
     held, n_ids, part = [], 0, 0
 
     def segment():
