@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StringType, StructField, StructType
 
 from scenewright.functions import grid as G
 from scenewright.functions.binding import let
@@ -16,7 +20,8 @@ from scenewright.functions.quantity import (
 )
 from scenewright.games import PLATFORMER, Game
 from scenewright.operators import features as D
-from scenewright.operators.components import component_labels, components
+from scenewright.operators import shapes
+from scenewright.operators.components import components
 from scenewright.operators.pipes import PIPE_TILES, pipe_kind, structure_kind, with_pipe_lips
 from scenewright.operators.stairs import staircase_bits, with_staircases
 
@@ -119,6 +124,18 @@ def platformer_caption(scenes: DataFrame, absence: bool = False, where: str | No
     pipes and fails if one is present.
     """
     kept = scenes.columns
+    if where is None:  # the same rules for a batch of scenes at a time
+        @F.arrow_udf("string")
+        def caption_of(rows: pa.Array) -> pa.Array:
+            return shapes.captions(rows, game, absence, upside_down)
+
+        return scenes.select(*kept, caption_of("rows").alias("caption"))
+    return _placed_caption(scenes, absence, where, game, upside_down)
+
+
+def _placed_caption(scenes: DataFrame, absence: bool, where: str | None, game: Game, upside_down: bool) -> DataFrame:
+    """The caption from column expressions, which also say where things are."""
+    kept = scenes.columns
     df = with_shapes(scenes, absence, where, game)
     rows = F.col("rows")
 
@@ -177,39 +194,10 @@ def platformer_caption(scenes: DataFrame, absence: bool = False, where: str | No
 
 def phrase_cells(scenes: DataFrame, key: str = "scene_id", game: Game = PLATFORMER) -> DataFrame:
     """Cells each kind of phrase is about: ``key, topic, r, c``."""
-    df = with_shapes(scenes, game=game)
-    rows = F.col("rows")
-    bits = lambda chars: G.class_bits(rows, game, chars)
-    masks = {
-        "floor": F.col("floor_bits"), "ceiling": F.col("ceiling_bits"), "enemy": bits("E"),
-        "question block": bits("Q?"), "cannon": bits("B"), "coin": bits("o"),
-        "coin line": F.col("coin_run_bits"), "platform": F.col("platform_bits"),
-        "ascending staircase": F.col("up_bits"), "descending staircase": F.col("down_bits"),
-        "loose block": G.minus_rows(G.minus_rows(F.col("loose_bits"), F.col("claimed_bits")),
-                                    F.col("block_bits")),
-    }
-    plain = df.select(
-        key,
-        F.explode(F.array(*[
-            F.struct(F.lit(topic).alias("topic"), mask.alias("mask"))
-            for topic, mask in masks.items()])).alias("t"),
-    ).select(key, "t.topic", F.explode_outer(G.set_cells(F.col("t.mask"))).alias("cell"))
-
-    def by_component(mask: str, comps: str, kinds: str, *edges: Column) -> DataFrame:
-        width = F.length(F.col("rows")[0])
-        named = F.map_from_arrays(F.transform(comps, lambda k: k["label"]), F.col(kinds))
-        labelled = df.withColumn("_l", component_labels(F.col(mask), width, *edges))
-        cells = let(named, lambda kind: F.filter(
-            F.transform("_l", lambda label, p: F.struct(
-                F.element_at(kind, label).alias("topic"),
-                F.floor(p / width).cast("int").alias("r"),
-                (p % width).cast("int").alias("c"))),
-            lambda x: x["topic"].isNotNull()))
-        return labelled.select(
-            key, F.explode_outer(cells).alias("t")
-        ).where("t IS NOT NULL").select(key, "t.topic", F.struct("t.r", "t.c").alias("cell"))
-
-    pipes = by_component("pipe_bits", "pipes", "pipe_kinds", bits(">]"), bits("<["))
-    blocks = by_component("free_bits", "blocks", "block_kinds")
-    return plain.unionByName(pipes).unionByName(blocks).where("cell IS NOT NULL").select(
-        key, "topic", "cell.r", "cell.c")
+    def cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield from shapes.cells(batch, game)
+
+    schema = StructType([scenes.schema[key], StructField("topic", StringType()), StructField("r", IntegerType()),
+                         StructField("c", IntegerType())])
+    return scenes.select(key, "rows").mapInArrow(cells, schema)
