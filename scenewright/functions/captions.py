@@ -6,6 +6,9 @@ of a game, the phrase that speaks about it or null.
 
 from __future__ import annotations
 
+import re
+
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -94,33 +97,100 @@ def mean_score(scores: Column, n_topics: int) -> Column:
     return F.aggregate(scores, F.lit(0.0), lambda acc, s: acc + s) / float(n_topics)
 
 
-def compare_captions(reference: Column, generated: Column, game: Game = PLATFORMER) -> Column:
-    """``STRUCT<score, exact, partial, excess>`` of a generated caption."""
+BLANKS = " \t\n\x0b\f\r"
+#: Captions and phrases whose topics a task remembers at most.
+REMEMBERED = 20_000
+
+
+class _Judge:
+    """``extract_topics``, ``normalize_plural`` and ``topic_scores`` for one caption after the other."""
+
+    def __init__(self, game: Game):
+        self.topics, self.terms = list(game.topics), list(game.quantity_terms)
+        self.plural = re.compile(r"(?<!s)s(?=\s|$)", re.ASCII)
+        self.phrases: dict[str, tuple] = {}
+        self.captions: dict[str | None, list] = {}
+
+    def phrase(self, text: str) -> tuple[str, list[int], bool, str, int | None]:
+        """(phrase, its topics, is it a denial, its singular form, its quantity)."""
+        found = self.phrases.get(text)
+        if found is None:
+            one = self.plural.sub("", text.replace("enemies", "enemy"))
+            quantity = next((i for i, term in enumerate(self.terms) if term in one), None)
+            found = text, [t for t, topic in enumerate(self.topics) if topic in text], text[:3].lower() == "no ", one, quantity
+            if len(self.phrases) >= REMEMBERED:
+                self.phrases.clear()
+            self.phrases[text] = found
+        return found
+
+    def extracted(self, caption: str | None) -> list[tuple | None]:
+        """The phrase of each topic: the first unclaimed one that contains it, none if that is a denial."""
+        found = self.captions.get(caption)
+        if found is None:
+            said = [self.phrase(p) for x in (caption or "").split(".") if (p := x.strip(BLANKS))]
+            holding: dict[int, list[tuple]] = {}
+            for p in said:
+                for t in p[1]:
+                    holding.setdefault(t, []).append(p)
+            claimed: set[str] = set()
+            found = [None] * len(self.topics)
+            for t in sorted(holding):
+                first = next((p for p in holding[t] if p[0] not in claimed), None)
+                if first is not None and not first[2]:
+                    claimed.add(first[0])
+                    found[t] = first
+            if len(self.captions) >= REMEMBERED:
+                self.captions.clear()
+            self.captions[caption] = found
+        return found
+
+    def scores(self, a: list, b: list) -> list[float]:
+        widest = float(len(self.terms) - 1)
+
+        def score(x: tuple | None, y: tuple | None) -> float:
+            if x is None or y is None:
+                return 1.0 if x is y else -1.0
+            if x[3] == y[3]:
+                return 1.0
+            return 0.1 if x[4] is None or y[4] is None else 1.0 - abs(x[4] - y[4]) / widest
+
+        return [score(x, y) for x, y in zip(a, b)]
+
+    def mean(self, scores: list[float]) -> float:
+        total = 0.0
+        for s in scores:  # one after the other, as the mean is defined
+            total += s
+        return total / float(len(self.topics))
 
-    def judged(t: Column) -> Column:
-        pairs = F.zip_with(
-            F.arrays_zip(t["found"].alias("a"), t["made"].alias("b")),
-            topic_scores(t["found"], t["made"], game.quantity_terms),
-            lambda x, s: F.struct(x["a"].alias("a"), x["b"].alias("b"), s.alias("s")))
-        same = lambda x: normalize_plural(x["a"]) == normalize_plural(x["b"])
-        both = lambda x: x["a"].isNotNull() & x["b"].isNotNull()
-        phrase = lambda keep: F.transform(F.filter(pairs, keep), lambda x: x["b"])
-        return F.struct(
-            mean_score(F.transform(pairs, lambda x: x["s"]), len(game.topics)).alias("score"),
-            phrase(lambda x: both(x) & same(x)).alias("exact"),
-            phrase(lambda x: both(x) & ~same(x)).alias("partial"),
-            phrase(lambda x: x["a"].isNull() & x["b"].isNotNull()).alias("excess"),
-        )
 
-    topics = F.struct(extract_topics(reference, game.topics).alias("found"),
-                      extract_topics(generated, game.topics).alias("made"))
-    return let(topics, judged)
+def compare_captions(reference: Column, generated: Column, game: Game = PLATFORMER) -> Column:
+    """``STRUCT<score, exact, partial, excess>`` of a generated caption."""
+    @F.arrow_udf("struct<score:double,exact:array<string>,partial:array<string>,excess:array<string>>")
+    def judged(reference: pa.Array, generated: pa.Array) -> pa.Array:
+        judge = _Judge(game)
+        scores, kinds = [], ([], [], [])
+        for a, b in zip(reference.to_pylist(), generated.to_pylist()):
+            found, made = judge.extracted(a), judge.extracted(b)
+            scores.append(judge.mean(judge.scores(found, made)))
+            both = [(x, y) for x, y in zip(found, made) if x is not None and y is not None]
+            kinds[0].append([y[0] for x, y in both if x[3] == y[3]])
+            kinds[1].append([y[0] for x, y in both if x[3] != y[3]])
+            kinds[2].append([y[0] for x, y in zip(found, made) if x is None and y is not None])
+        return pa.StructArray.from_arrays(
+            [pa.array(scores, pa.float64()), *[pa.array(k, pa.list_(pa.string())) for k in kinds]],
+            ["score", "exact", "partial", "excess"])
+
+    return judged(reference, generated)
 
 
 def caption_score(reference: Column, generated: Column, game: Game = PLATFORMER) -> Column:
-    scores = topic_scores(extract_topics(reference, game.topics),
-                          extract_topics(generated, game.topics), game.quantity_terms)
-    return mean_score(scores, len(game.topics))
+    @F.arrow_udf("double")
+    def score(reference: pa.Array, generated: pa.Array) -> pa.Array:
+        judge = _Judge(game)
+        return pa.array([judge.mean(judge.scores(judge.extracted(a), judge.extracted(b)))
+                         for a, b in zip(reference.to_pylist(), generated.to_pylist())], pa.float64())
+
+    return score(reference, generated)
 
 
 def topic_key(caption: Column, game: Game = PLATFORMER) -> Column:
