@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -10,6 +11,7 @@ from scenewright.functions.binding import let
 from scenewright.functions.quantity import count_phrase, describe_runs, quantity
 from scenewright.games import LADDER, Game
 from scenewright.operators import features as D
+from scenewright.operators import shapes
 from scenewright.operators.captioner import placed, structure_text
 from scenewright.operators.components import component_labels, components
 from scenewright.operators.pipes import structure_kind
@@ -65,6 +67,18 @@ def ladder_caption(scenes: DataFrame, absence: bool = False, where: str | None =
                    game: Game = LADDER) -> DataFrame:
     """Add ``caption`` to a frame with ``rows``."""
     kept = scenes.columns
+    if where is None:  # the same rules for a batch of scenes at a time
+        @F.arrow_udf("string")
+        def caption_of(rows: pa.Array) -> pa.Array:
+            return shapes.ladder_captions(rows, game, absence, SKY_ROWS)
+
+        return scenes.select(*kept, caption_of("rows").alias("caption"))
+    return _placed_caption(scenes, absence, where, game)
+
+
+def _placed_caption(scenes: DataFrame, absence: bool, where: str | None, game: Game) -> DataFrame:
+    """The caption from column expressions, which also say where things are."""
+    kept = scenes.columns
     df = with_ladder_shapes(scenes, game)
     rows = F.col("rows")
     df = df.withColumn("n_clusters", cluster_count(F.col("_ladder"), F.col("ladder_pair_bits"),

@@ -1,4 +1,4 @@
-"""Shapes of platformer scenes for a whole Arrow batch at once: captions and the cells they are about.
+"""Shapes of platformer and ladder scenes for a whole Arrow batch at once: captions and the cells they are about.
 
 The rules are those of ``captioner.with_shapes``, which states them as column
 expressions; there every bitmap is an interpreted array expression per scene,
@@ -396,6 +396,73 @@ class Shapes:
                 yield name, scene[at], row[at], col[at]
 
 
+class LadderShapes(Shapes):
+    """The same for the ladder game; the rules are those of ``ladder_captioner.with_ladder_shapes``."""
+
+    def _inner(self, bits: np.ndarray) -> np.ndarray:
+        return np.concatenate([bits[:-1], np.zeros_like(bits[:1])])
+
+    def _ladders(self) -> list[np.ndarray]:
+        """Numbers of upright runs of ladder tiles: of one, two to four, and five tiles to the game's height."""
+        cells = self._cells(self.having("ladder"))
+        upright = (cells.astype(np.int64) << np.arange(self.height)[:, None, None]).sum(axis=0)  # [column, scene]
+        least = []
+        for size in (1, 2, 5, self.game.height + 1):
+            kept = upright
+            for _ in range(size - 1):
+                kept = kept & (kept >> 1)
+            least.append(count_runs(kept).sum(axis=0, dtype=np.int64))
+        return [a - b for a, b in zip(least, least[1:])]
+
+    def _clusters(self) -> np.ndarray:
+        """Ladder components that hold two ladder tiles side by side above the last row."""
+        none = np.zeros_like(self.solid)
+        ladder = self.having("ladder")
+        boxes, (member, scene, row, col) = self._components(ladder, none, none, 1)
+        paired = (pairs_mask(self._inner(ladder))[row, scene] >> col) & 1 == 1
+        return np.bincount(boxes[0][np.unique(member[paired])], minlength=self.n)
+
+    def captions(self, absence: bool, sky_rows: int) -> pa.Array:
+        game, none = self.game, np.zeros_like(self.solid)
+
+        def counted(n: np.ndarray, one: str, many: str, nothing: str) -> pa.Array:
+            return _texts(bucket(n), [nothing, f" one {one}.", *[f" {q} {many}." for q in QUANTITIES[2:]]])
+
+        def lines(n: np.ndarray, label: str) -> pa.Array:
+            return counted(n, label, f"{label}s", f" no {label}s." if absence else "")
+
+        runs = lambda bits: count_runs(bits).sum(axis=0, dtype=np.int64)
+        gold = self.having("gold")
+        gold_lines = pairs_mask(self._inner(gold))
+        n_lines, single = runs(gold_lines), bucket(_total(gold & ~gold_lines))
+        no_gold = " no gold." if absence else ""
+        scene, _, top, bottom, left, right, cells = self._components(self.solid, none, none, 1)[0]
+        wide, high = right - left + 1, bottom - top + 1
+        hangs = (top <= game.ceiling) & (bottom >= game.ceiling)
+        stands = (top <= game.height - 2) & (bottom >= game.height - 2)
+        kept = ~(~hangs & (wide <= 2) & (high >= 3) & stands)  # towers are not spoken of
+        kinds = np.where(cells == wide * high, 1, 2)
+        below = self.having("empty")
+        below[:sky_rows] = 0
+        area, _, a_top, a_bottom, a_left, a_right, _ = self._components(below, none, none, 1)[0]
+        open_ = (a_top == 0) | (a_bottom == self.height - 1) | (a_left == 0) | (a_right == self.width - 1)
+        ground = lambda ch, label: counted(self.count(ch), label, label, f" no {label}." if absence else "")
+        parts = [
+            self._floor_texts(absence),
+            counted(self.count("E"), "enemy", "enemies", " no enemies." if absence else ""),
+            lines(n_lines, "gold line"),
+            _texts(np.where(single > 0, single, np.where(n_lines == 0, 0, 6)),
+                   [no_gold, *[f" {q} gold." for q in QUANTITIES[1:]], ""]),
+            lines(runs(self._inner(self.having("rope"))), "rope"),
+            counted(self._clusters(), "ladder cluster", "ladder clusters", ""),
+            *[lines(n, label) for n, label in zip(self._ladders(), ("lone ladder tile", "short ladder", "tall ladder"))],
+            self._structures(scene[kept], kinds[kept], BLOCK_KINDS, BLOCK_KINDS[1:] if absence else []),
+            ground("B", "solid ground"), ground("b", "diggable ground"),
+            counted(np.bincount(area[~open_], minlength=self.n), "chamber", "chambers", ""),
+            counted(np.bincount(area[open_], minlength=self.n), "empty background area", "empty background areas", "")]
+        return pc.utf8_trim(pc.binary_join_element_wise(*parts, ""), " ")
+
+
 def _texts(index: np.ndarray, texts: list[str]) -> pa.Array:
     return pa.array(texts, pa.string()).take(pa.array(index.astype(np.int64)))
 
@@ -422,13 +489,13 @@ def by_shape(rows: pa.Array, run: Callable[[np.ndarray, np.ndarray], None]) -> N
             run(places, data[begin[places][:, None] + np.arange(cells)].reshape(len(places), height, cells // height))
 
 
-def captions(rows: pa.Array, game: Game, absence: bool, upside_down: bool) -> pa.Array:
-    """A caption for each scene of a batch."""
+def each_scene(rows: pa.Array, say: Callable[[np.ndarray], pa.Array]) -> pa.Array:
+    """What ``say`` makes of the scenes of each shape, in the order of the batch."""
     made, order = [pa.array([], pa.string())], []
 
     def run(places: np.ndarray, codes: np.ndarray) -> None:
         order.append(places)
-        made.append(Shapes(codes, game).captions(absence, upside_down))
+        made.append(say(codes))
 
     by_shape(rows, run)
     if not order:
@@ -436,6 +503,16 @@ def captions(rows: pa.Array, game: Game, absence: bool, upside_down: bool) -> pa
     return pa.concat_arrays(made).take(pa.array(np.argsort(np.concatenate(order), kind="stable")))
 
 
+def captions(rows: pa.Array, game: Game, absence: bool, upside_down: bool) -> pa.Array:
+    """A caption for each platformer scene of a batch."""
+    return each_scene(rows, lambda codes: Shapes(codes, game).captions(absence, upside_down))
+
+
+def ladder_captions(rows: pa.Array, game: Game, absence: bool, sky_rows: int) -> pa.Array:
+    """A caption for each scene of the ladder game."""
+    return each_scene(rows, lambda codes: LadderShapes(codes, game).captions(absence, sky_rows))
+
+
 def cells(batch: pa.RecordBatch, game: Game) -> Iterator[pa.RecordBatch]:
     """``(key, topic, r, c)`` for a batch of ``(key, rows)``."""
     out: list[pa.RecordBatch] = []

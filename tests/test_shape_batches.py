@@ -8,8 +8,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from scenewright.functions import grid as G
+from scenewright.games import LADDER
 from scenewright.games import PLATFORMER as P
 from scenewright.operators import captioner as C
+from scenewright.operators import ladder_captioner as LC
 from scenewright.operators import shapes
 
 
@@ -101,3 +103,28 @@ def test_slices_of_batches():
     assert sorted(shapes_seen) == [((11, 9), 7), ((16, 16), 13)] and np.sum([n for _, n in shapes_seen]) == 20
     with pytest.raises(ValueError, match="ASCII"):
         shapes.captions(pa.array([["ü" * 8] * 16]), P, False, True)
+
+
+@pytest.mark.parametrize("absence", [False, True])
+def test_ladder_captions_of_batches(spark, absence):
+    rng = random.Random(8)
+    made = []
+    for i in range(160):
+        height, width = (32, 32) if i % 4 else (24 + i % 12, 18)
+        tiles = ["." * 12 + "B", "BBb.", "...##", ".G-E", LADDER.alphabet][i % 5]
+        rows = [[rng.choice(tiles) for _ in range(width)] for _ in range(height)]
+        for _ in range(6):  # boxes, also empty ones with walls, and ladders
+            r, c, h, w = rng.randrange(height), rng.randrange(width), rng.randrange(1, 12), rng.randrange(1, 9)
+            wall = rng.choice("BBb#.-G")
+            fill = rng.choice([wall, "."])
+            for y in range(r, min(height, r + h)):
+                for x in range(c, min(width, c + w)):
+                    rows[y][x] = wall if y in (r, r + h - 1) or x in (c, c + w - 1) else fill
+        made.append(["".join(r) for r in rows])
+    df = frame(spark, made)
+    want = {r["scene_id"]: r["caption"] for r in LC._placed_caption(df, absence, None, LADDER).collect()}
+    found = LC.ladder_caption(df, absence)
+    assert {r["scene_id"]: r["caption"] for r in found.collect()} == want
+    assert len(set(want.values())) > 100 and any("chamber" in x for x in want.values())
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "lambdafunction" not in plan and plan.count("ArrowEvalPython") == 1
